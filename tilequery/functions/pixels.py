@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: fixed values: grey-scale weights (R, G, B)
 GREY_WEIGHTS = {"luma709": (0.2125, 0.7154, 0.0721), "luma601": (0.299, 0.587, 0.114)}
@@ -60,7 +61,7 @@ def image_udf(fn, returns: str):
     return call
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def source_to_rgb(height: pd.Series, width: pd.Series, channels: pd.Series, data: pd.Series) -> pd.Series:
     """Bytes of Spark's image source (B, G, R[, A] or grey) as RGB, alpha dropped."""
     out = []
@@ -74,7 +75,7 @@ def source_to_rgb(height: pd.Series, width: pd.Series, channels: pd.Series, data
     return pd.Series(out, dtype=object)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def over_white(height: pd.Series, width: pd.Series, data: pd.Series) -> pd.Series:
     """RGBA bytes of Spark's image source (B, G, R, A) blended over white, as RGB."""
     out = []

@@ -28,23 +28,25 @@ def ecdf(df: DataFrame, column: str) -> DataFrame:
     return run.join(F.broadcast(total)).withColumn("cdf", F.col("_c") / F.col("_all")).select("value", "n", "cdf")
 
 
-def inverse_ecdf(df: DataFrame, column: str, p: float) -> float:
-    """Value at which the ECDF reaches ``p``, linear between its steps.
+def inverse_ecdf(df: DataFrame, column: str, p: float | list[float]) -> float | list[float]:
+    """Value at which the ECDF reaches ``p``, linear between its steps; several ``p`` share one pass.
 
     Below the first step or above 1 there is no value (``ValueError``).
     """
-    steps = ecdf(df, column)
+    ps = [float(v) for v in (p if isinstance(p, (list, tuple)) else [p])]
     at = F.struct("cdf", "value")
-    row = steps.agg(
-        F.max(F.when(F.col("cdf") <= p, at)).alias("lo"), F.min(F.when(F.col("cdf") >= p, at)).alias("hi")
-    ).first()
-    if row is None or row["lo"] is None or row["hi"] is None:
-        raise ValueError(f"{p} is outside the range of the distribution of {column!r}")
-    lo, hi = row["lo"], row["hi"]
-    if hi["cdf"] == lo["cdf"]:
-        return float(lo["value"])
-    t = (p - lo["cdf"]) / (hi["cdf"] - lo["cdf"])
-    return float(lo["value"] + t * (hi["value"] - lo["value"]))
+    aggs = []
+    for n, q in enumerate(ps):
+        aggs += [F.max(F.when(F.col("cdf") <= q, at)).alias(f"lo{n}"), F.min(F.when(F.col("cdf") >= q, at)).alias(f"hi{n}")]
+    row = ecdf(df, column).agg(*aggs).first()
+    out = []
+    for n, q in enumerate(ps):
+        lo, hi = row[f"lo{n}"], row[f"hi{n}"]
+        if lo is None or hi is None:
+            raise ValueError(f"{q} is outside the range of the distribution of {column!r}")
+        t = (q - lo["cdf"]) / (hi["cdf"] - lo["cdf"]) if hi["cdf"] > lo["cdf"] else 0.0
+        out.append(float(lo["value"] + t * (hi["value"] - lo["value"])))
+    return out if isinstance(p, (list, tuple)) else out[0]
 
 
 def histogram(df: DataFrame, column: str, lo: float, hi: float, bins: int = 25) -> DataFrame:

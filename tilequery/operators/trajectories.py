@@ -15,8 +15,8 @@ from tilequery.session import broadcast_if_small, inline_if_small, materialize
 # --- values carried along a sorted sequence, split over range partitions ------
 
 
-def _carried(df: DataFrame, order: list[str], value: str, forward: bool, out: str) -> DataFrame:
-    """Last (``forward``) or next non-NULL ``value`` in global order, the own row included.
+def _carried(df: DataFrame, order: list[str], value: str, before: str, after: str) -> DataFrame:
+    """Last non-NULL ``value`` up to each row and first from it on, in global order.
 
     Sorted range partitions are filled inside; between partitions only one row
     each travels, so neither a long gap nor a hot key ends up in one task.
@@ -25,21 +25,26 @@ def _carried(df: DataFrame, order: list[str], value: str, forward: bool, out: st
     order = [*order, "_h"]
     parts = materialize(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
     w = Window.partitionBy("_p").orderBy(*order)
-    pick = F.last if forward else F.first
-    frame = w.rowsBetween(Window.unboundedPreceding, 0) if forward else w.rowsBetween(0, Window.unboundedFollowing)
-    filled = parts.withColumn("_in", pick(value, ignorenulls=True).over(frame))
-    place = F.struct(*order)
-    best = F.max_by(value, place) if forward else F.min_by(value, place)
-    edge = parts.groupBy("_p").agg(F.count("*").alias("_c"))
-    edge = edge.join(parts.filter(F.col(value).isNotNull()).groupBy("_p").agg(best.alias("_e")), "_p", "left")
+    filled = parts.withColumns(
+        {
+            "_b": F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+            "_a": F.first(value, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)),
+        }
+    )
+    place, known = F.struct(*order), F.col(value).isNotNull()
+    edges = parts.groupBy("_p").agg(
+        F.max_by(F.when(known, F.col(value)), F.when(known, place)).alias("_l"),
+        F.min_by(F.when(known, F.col(value)), F.when(known, place)).alias("_f"),
+    )
     wp = Window.orderBy("_p")  # one row per partition
-    across = (
-        F.last("_e", ignorenulls=True).over(wp.rowsBetween(Window.unboundedPreceding, -1))
-        if forward
-        else F.first("_e", ignorenulls=True).over(wp.rowsBetween(1, Window.unboundedFollowing))
+    edges = edges.select(
+        "_p",
+        F.last("_l", ignorenulls=True).over(wp.rowsBetween(Window.unboundedPreceding, -1)).alias("_pb"),
+        F.first("_f", ignorenulls=True).over(wp.rowsBetween(1, Window.unboundedFollowing)).alias("_pa"),
     )
-    edges = inline_if_small(edge.select("_p", across.alias("_out")))
-    return filled.join(edges, "_p").withColumn(out, F.coalesce("_in", "_out")).drop("_p", "_h", "_in", "_out")
+    out = filled.join(inline_if_small(edges), "_p")
+    out = out.withColumns({before: F.coalesce("_b", "_pb"), after: F.coalesce("_a", "_pa")})
+    return out.drop("_p", "_h", "_b", "_a", "_pb", "_pa")
 
 
 # --- geo lookup ---------------------------------------------------------------
@@ -171,7 +176,6 @@ def trajectory_overlay(points: DataFrame, scenes: DataFrame, dt_minutes: float =
 
 def asof_scene(samples: DataFrame, scenes: DataFrame, tolerance_minutes: float | None = None, at: str = "time") -> DataFrame:
     """Nearest scene in time for each sample (the earlier one on a tie); NULL outside the tolerance."""
-    kind = samples.schema[at].dataType
     empty = F.lit(None).cast(scenes.schema["scene_id"].dataType)
     sc = scenes.select(
         F.col(at), F.struct(F.col(at).alias("time"), F.col("scene_id").alias("scene_id")).alias("_scene"), F.lit(0).alias("_kind")
@@ -179,9 +183,8 @@ def asof_scene(samples: DataFrame, scenes: DataFrame, tolerance_minutes: float |
     blank = F.lit(None).cast(sc.schema["_scene"].dataType)
     rows = samples.withColumns({"_scene": blank, "_kind": F.lit(1)})
     both = rows.unionByName(sc, allowMissingColumns=True)
-    earlier = _carried(both, [at, "_kind", "_scene"], "_scene", forward=True, out="_before")
-    # scenes sort before samples of the same time, so look ahead with the order turned round
-    later = _carried(earlier.withColumn("_kind2", -F.col("_kind")), [at, "_kind2", "_scene"], "_scene", forward=False, out="_after")
+    # scenes sort before samples of the same time: such a scene counts as earlier, and wins
+    later = _carried(both, [at, "_kind", "_scene"], "_scene", "_before", "_after")
     rows = later.filter(F.col("_kind") == 1)
     gap_b = F.col(f"{at}_us") - F.unix_micros(F.col("_before.time").cast("timestamp"))
     gap_a = F.unix_micros(F.col("_after.time").cast("timestamp")) - F.col(f"{at}_us")
@@ -192,7 +195,7 @@ def asof_scene(samples: DataFrame, scenes: DataFrame, tolerance_minutes: float |
     if tolerance_minutes is not None:
         chosen = F.when(gap <= int(tolerance_minutes * 60_000_000), chosen).otherwise(empty)
     return rows.withColumns({"nearest_scene": chosen, "gap_us": gap}).drop(
-        "_scene", "_kind", "_kind2", "_before", "_after", "_gb", "_ga", f"{at}_us"
+        "_scene", "_kind", "_before", "_after", "_gb", "_ga", f"{at}_us"
     )
 
 

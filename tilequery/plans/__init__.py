@@ -3,7 +3,12 @@
 
 def all_queries():
     """``(queries, sql)`` of every query module."""
-    from tilequery.plans import selection_queries, triplet_queries  # noqa: F401
+    from tilequery.plans import (  # noqa: F401
+        scene_queries,
+        selection_queries,
+        trajectory_queries,
+        triplet_queries,
+    )
     from tilequery.plans.registry import QUERIES, SQL
 
     return QUERIES, SQL

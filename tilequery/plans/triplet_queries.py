@@ -113,8 +113,8 @@ def distance_ecdf(spark, sf):
 )
 def distance_inverse_ecdf(spark, sf):
     d = distances(spark, sf)
-    rows = [(p, stats.inverse_ecdf(d, "an_dist", p)) for p in (0.1, 0.3, 0.5, 0.9)]
-    return spark.createDataFrame(rows, "p double, an_dist double").select("p", _r("an_dist"))
+    ps = [0.1, 0.3, 0.5, 0.9]
+    return spark.createDataFrame(list(zip(ps, stats.inverse_ecdf(d, "an_dist", ps))), "p double, an_dist double").select("p", _r("an_dist"))
 
 
 @query(
