@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -128,12 +129,10 @@ def _cut(nxt: int, nyt: int):
     return run
 
 
-def crop_scenes(images: DataFrame, step: tuple[int, int] = STEP, tile: tuple[int, int] = TILE, spread: bool = True) -> DataFrame:
-    """Pixels of every window of scene images ``(scene_id, h, w, pixels)``.
+def scene_strips(images: DataFrame, step: tuple[int, int] = STEP, tile: tuple[int, int] = TILE, spread: bool = True) -> DataFrame:
+    """Scene images cut into the row strips their windows need (plain byte ranges, in the JVM).
 
-    A scene is first cut into the row strips its windows need (plain byte ranges,
-    in the JVM). ``spread`` shuffles the strips, so that one large scene is worked
-    on by many tasks.
+    ``spread`` shuffles the strips, so that one large scene is worked on by many tasks.
     """
     require(images, "scene_id", "h", "w", "pixels")
     (nxt, nyt), (sx, sy) = tile, step
@@ -148,10 +147,14 @@ def crop_scenes(images: DataFrame, step: tuple[int, int] = STEP, tile: tuple[int
             F.substring(F.col("pixels"), F.col("j") * F.col("w") * 3 + 1, F.lit(nyt) * F.col("w") * 3).alias("strip"),
         )
     )
-    if spread:
-        strips = strips.repartition("scene_id", "j")
+    return strips.repartition("scene_id", "j") if spread else strips
+
+
+def crop_scenes(images: DataFrame, step: tuple[int, int] = STEP, tile: tuple[int, int] = TILE, spread: bool = True) -> DataFrame:
+    """Pixels of every window of scene images ``(scene_id, h, w, pixels)``."""
     kind = images.schema["scene_id"].dataType.simpleString()
-    return strips.mapInArrow(_cut(nxt, nyt), f"scene_id {kind}, j int, i int, h int, w int, pixels binary")
+    strips = scene_strips(images, step, tile, spread)
+    return strips.mapInArrow(_cut(*tile), f"scene_id {kind}, j int, i int, h int, w int, pixels binary")
 
 
 def crop_points(windows: DataFrame, images: DataFrame, tile: tuple[int, int] = TILE) -> DataFrame:
@@ -171,8 +174,6 @@ def crop_points(windows: DataFrame, images: DataFrame, tile: tuple[int, int] = T
 
 
 def _crop_columns(nxt: int, nyt: int):
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def run(strip: pd.Series, width: pd.Series, start: pd.Series) -> pd.Series:
         return pd.Series(
