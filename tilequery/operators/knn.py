@@ -86,29 +86,36 @@ def _block_best(cost: str, k: int):
     return run
 
 
-def blocked_best(left: DataFrame, right: DataFrame, keys: list[str], k: int, cost: str = "l2", left_rows: int = BLOCK, right_rows: int = BLOCK) -> DataFrame:
+def blocked_best(left: DataFrame, right: DataFrame, keys: list[str], k: int, cost: str = "l2", left_rows: int = BLOCK,
+                 right_rows: int = BLOCK, counts: tuple[int, int] | None = None) -> DataFrame:
     """``k`` cheapest right rows per left row among rows of equal ``keys``.
 
     Both sides have ``id, vec, w, comp``. Keys with many rows are cut on both
-    sides, so no kernel call sees more than about one block of each.
+    sides, so no kernel call sees more than about one block of each. ``counts``
+    are the row numbers of both sides when there is only one key.
     """
+    if counts is not None:
+        cuts = {"_a": F.lit(math.ceil(counts[0] / left_rows)), "_b": F.lit(math.ceil(counts[1] / right_rows))}
+        return _blocked(left.withColumns(cuts), right.withColumns(cuts), keys, k, cost)
     sizes = (
         left.groupBy(*keys).agg(F.count("*").alias("_ln"))
         .join(right.groupBy(*keys).agg(F.count("*").alias("_rn")), keys)
         .select(*keys, F.ceil(F.col("_ln") / left_rows).cast("int").alias("_a"), F.ceil(F.col("_rn") / right_rows).cast("int").alias("_b"))
     )
     sizes = inline_if_small(sizes)
+    return _blocked(left.join(sizes, keys), right.join(sizes, keys), keys, k, cost)
+
+
+def _blocked(left: DataFrame, right: DataFrame, keys: list[str], k: int, cost: str) -> DataFrame:
     body = ["id", "vec", "w", "comp"]
     lk = [F.col(c).alias(f"k_{c}") for c in keys]
     lhs = (
-        left.join(sizes, keys)
-        .withColumn("pa", F.pmod(F.xxhash64("id"), F.col("_a")).cast("int"))
+        left.withColumn("pa", F.pmod(F.xxhash64("id"), F.col("_a")).cast("int"))
         .withColumn("pb", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
         .select(*lk, "pa", "pb", *body)
     )
     rhs = (
-        right.join(sizes, keys)
-        .withColumn("pb", F.pmod(F.xxhash64("id"), F.col("_b")).cast("int"))
+        right.withColumn("pb", F.pmod(F.xxhash64("id"), F.col("_b")).cast("int"))
         .withColumn("pa", F.explode(F.sequence(F.lit(0), F.col("_a") - 1)))
         .select(*[F.col(c).alias(f"s_{c}") for c in keys], F.col("pa").alias("s_pa"), F.col("pb").alias("s_pb"), *[F.col(c).alias(c) for c in body])
     )
@@ -214,7 +221,8 @@ def best_partners(left: DataFrame, right: DataFrame, k: int, cost: str = "l2", n
     p = int(min(MAX_PIVOTS, max(1, n // BLOCK)))
     if p == 1:
         one = F.lit(0)
-        return blocked_best(left.withColumn("cell", one), right.withColumn("cell", one), ["cell"], k, cost, left_rows)
+        m = n if left is right else right.count()
+        return blocked_best(left.withColumn("cell", one), right.withColumn("cell", one), ["cell"], k, cost, left_rows, counts=(n, m))
     pivots = _pivot_matrix(left, p)
     p = len(pivots)
     schema = _node_schema(left)

@@ -5,6 +5,7 @@ def all_queries():
     """``(queries, sql)`` of every query module."""
     from tilequery.plans import (  # noqa: F401
         image_queries,
+        model_queries,
         scene_queries,
         selection_queries,
         trajectory_queries,

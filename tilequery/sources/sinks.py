@@ -60,6 +60,7 @@ def save_model(model, path: str) -> None:
 
 def load_model(spark: SparkSession, directory: str, name: str):
     """Model stored under ``directory/name``; an unknown name lists what is there."""
+    from tilequery.operators import manifolds, training  # noqa: F401  (register their models)
     from tilequery.operators.transforms import MODELS
 
     try:

@@ -1,0 +1 @@
+"""Structured Streaming: scenes embedded as they arrive."""
