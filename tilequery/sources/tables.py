@@ -39,7 +39,7 @@ def tile_definitions(spark: SparkSession, path: str, tile_type: str = "anchor",
             yield pd.DataFrame(rows, columns=["tile_id", "lat", "lon", "size", "source_files"])
 
     texts = (
-        spark.read.option("wholetext", "true").option("pathGlobFilter", f"*{suffix}").text(path)
+        spark.read.option("pathGlobFilter", f"*{suffix}").text(path, wholetext=True)
         .select(F.col("_metadata.file_path").alias("path"), "value")
     )
     return texts.mapInPandas(parse, f"tile_id long, {TILE_GEO}")
@@ -57,4 +57,4 @@ def read_domain(spark: SparkSession, path: str) -> DataFrame:
                 rows = [(n, float(p[0]), float(p[1])) for n, p in enumerate(yaml.safe_load(text))]
                 yield pd.DataFrame(rows, columns=["pos", "lat", "lon"])
 
-    return spark.read.option("wholetext", "true").text(path).mapInPandas(parse, "pos int, lat double, lon double")
+    return spark.read.text(path, wholetext=True).mapInPandas(parse, "pos int, lat double, lon double")
