@@ -134,6 +134,10 @@ def test_mask_objects_against_flood_fill():
                         stack.append((c, d))
             sizes.append(size)
         assert sorted(measures.mask_objects(m)[0].astype(int)) == sorted(sizes)
+    stack = rng.uniform(size=(6, 9, 7)) < 0.5
+    for one, part in zip(stack, measures.stacked_objects(stack)):
+        for a, b in zip(measures.mask_objects(one), part):
+            np.testing.assert_allclose(np.sort(a), np.sort(b))
 
 
 def test_augmentation_is_seeded(spark):

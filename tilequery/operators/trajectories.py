@@ -24,23 +24,22 @@ def _carried(df: DataFrame, order: list[str], value: str, before: str, after: st
     df = df.withColumn("_h", F.xxhash64(*df.columns))  # splits rows of one and the same place
     order = [*order, "_h"]
     parts = materialize(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
-    w = Window.partitionBy("_p").orderBy(*order)
+    # looking ahead is looking back in the reverse order: growing frames cost one step per row,
+    # shrinking ones are recomputed for every row
+    back = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy("_p").orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
     filled = parts.withColumns(
-        {
-            "_b": F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-            "_a": F.first(value, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)),
-        }
+        {"_b": F.last(value, ignorenulls=True).over(back), "_a": F.last(value, ignorenulls=True).over(ahead)}
     )
     place, known = F.struct(*order), F.col(value).isNotNull()
     edges = parts.groupBy("_p").agg(
         F.max_by(F.when(known, F.col(value)), F.when(known, place)).alias("_l"),
         F.min_by(F.when(known, F.col(value)), F.when(known, place)).alias("_f"),
     )
-    wp = Window.orderBy("_p")  # one row per partition
+    before_p = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    after_p = Window.orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, -1)
     edges = edges.select(
-        "_p",
-        F.last("_l", ignorenulls=True).over(wp.rowsBetween(Window.unboundedPreceding, -1)).alias("_pb"),
-        F.first("_f", ignorenulls=True).over(wp.rowsBetween(1, Window.unboundedFollowing)).alias("_pa"),
+        "_p", F.last("_l", ignorenulls=True).over(before_p).alias("_pb"), F.last("_f", ignorenulls=True).over(after_p).alias("_pa")
     )
     out = filled.join(inline_if_small(edges), "_p")
     out = out.withColumns({before: F.coalesce("_b", "_pb"), after: F.coalesce("_a", "_pa")})

@@ -84,11 +84,13 @@ def derive_triplets(embs: DataFrame, key: str = "vec_id", label: str = "label")
     )
     heads = materialize(heads)
     in_bucket = Window.partitionBy("_b").orderBy(key)
+    reverse = Window.partitionBy("_b").orderBy(F.desc(key))
     turn = F.when(F.lead(label).over(in_bucket) != F.col(label), F.lead(key).over(in_bucket))
     rows = (
         ids.withColumn("_nid", F.lead(key).over(in_label))
         .withColumn("_turn", turn)
-        .withColumn("_did", F.first("_turn", ignorenulls=True).over(in_bucket.rowsBetween(0, Window.unboundedFollowing)))
+        # the next turn is the last one seen in reverse order (a growing frame, one step per row)
+        .withColumn("_did", F.last("_turn", ignorenulls=True).over(reverse.rowsBetween(Window.unboundedPreceding, 0)))
     )
     rows = rows.join(inline_if_small(heads.select(label, "_b", "_wrap")), [label, "_b"])
     if n_buckets > 1:
