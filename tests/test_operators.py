@@ -156,3 +156,24 @@ def test_augmentation_is_seeded(spark):
 def test_encoder_needs_room():
     with pytest.raises(ValueError):
         embed.block_encoder(8)()(np.zeros((1, 3, 2, 2), dtype=np.float32))
+
+
+def test_links_in_crowded_cells(spark, monkeypatch):
+    from tilequery.operators import knn, trajectories
+
+    rng = np.random.default_rng(4)
+    rows = [("p", f, f * 100 + i, float(x), float(y)) for f in range(3) for i, (x, y) in enumerate(rng.uniform(0, 4, (40, 2)))]
+    rows += [("p", 1, 900 + i, rows[0][3], rows[0][4]) for i in range(3)]
+    df = spark.createDataFrame(rows, "prefix string, frame int, point_id long, x double, y double")
+    d = lambda a, b: float(np.hypot(a[3] - b[3], a[4] - b[4]))
+    want = set()
+    for a in rows:
+        near = sorted((d(a, b), b[2], b) for b in rows if b[1] == a[1] + 1 and d(a, b) <= 0.7)
+        if near:
+            b = near[0][2]
+            if min((d(c, b), c[2]) for c in rows if c[1] == a[1])[1] == a[2]:
+                want.add((a[1], a[2], b[2]))
+    for pairs in (65_536, 4):
+        monkeypatch.setattr(knn, "CELL_PAIRS", pairs)
+        got = {(r["frame"], r["point_id"], r["next_id"]) for r in trajectories.link_points(df, 0.7).collect()}
+        assert got == want

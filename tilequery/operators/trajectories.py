@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -240,13 +241,30 @@ def link_points(points: DataFrame, max_displacement: float, prefix: str = "prefi
     A link joins two points that are each other's nearest within the maximum
     displacement (ties: smaller id).
     """
-    from tilequery.operators.knn import nearest_within
-
-    a = points.select(prefix, F.col(frame).alias("_f"), F.col(point).alias("id"), "x", "y").filter("x is not null and y is not null")
-    b = a.withColumn("_f", F.col("_f") - 1)
-    fwd = nearest_within(a, b, [prefix, "_f"], max_displacement)
-    back = nearest_within(b, a, [prefix, "_f"], max_displacement)
-    back = back.select(prefix, "_f", F.col("id").alias("near_id"), F.col("near_id").alias("id"))
-    return fwd.join(back, [prefix, "_f", "id", "near_id"]).select(
-        prefix, F.col("_f").alias(frame), F.col("id").alias(point), F.col("near_id").alias("next_id"), F.col("dist").alias("displacement")
+    from tilequery.operators import knn
+
+    # of several points in one place the smallest id is the nearest to anything, so only it can be linked
+    place = points.filter("x is not null and y is not null").groupBy(F.col(prefix).alias("_g"), F.col(frame).alias("_f"), "x", "y")
+    spots = materialize(place.agg(F.min(point).alias("id")))
+    r = float(max_displacement)
+    cell = {"cx": F.floor(F.col("x") / r), "cy": F.floor(F.col("y") / r)}
+    meet = ["_g", "_f", "cx", "cy"]
+    here = spots.withColumns(cell)
+    most = math.isqrt(knn.CELL_PAIRS)
+    if here.groupBy(*meet).count().filter(F.col("count") > most).isEmpty():
+        around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+        ahead = here.withColumn("_o", around).select(
+            "_g", "_f", (F.col("cx") + F.col("_o.i")).alias("cx"), (F.col("cy") + F.col("_o.j")).alias("cy"), "id", "x", "y"
+        )
+        later = here.select("_g", (F.col("_f") - 1).alias("_f"), "cx", "cy", F.col("id").alias("near_id"), F.col("x").alias("_x"), F.col("y").alias("_y"))
+        gap = F.sqrt((F.col("x") - F.col("_x")) * (F.col("x") - F.col("_x")) + (F.col("y") - F.col("_y")) * (F.col("y") - F.col("_y")))
+        pairs = ahead.join(later, meet).select("_g", "_f", "id", "near_id", gap.alias("dist")).filter(F.col("dist") <= r)
+        fwd = pairs.groupBy("_g", "_f", "id").agg(F.min(F.struct("dist", "near_id")).alias("b")).select("_g", "_f", "id", "b.near_id", "b.dist")
+        back = pairs.groupBy("_g", "_f", "near_id").agg(F.min(F.struct("dist", "id")).alias("b")).select("_g", "_f", "near_id", "b.id")
+    else:  # crowded cells: the block kernel keeps one candidate per point
+        first, second = spots.select("_g", "_f", "id", "x", "y"), spots.select("_g", (F.col("_f") - 1).alias("_f"), "id", "x", "y")
+        fwd = knn.nearest_within(first, second, ["_g", "_f"], r).drop("x", "y")
+        back = knn.nearest_within(second, first, ["_g", "_f"], r).select("_g", "_f", F.col("id").alias("near_id"), F.col("near_id").alias("id"))
+    return fwd.join(back, ["_g", "_f", "id", "near_id"]).select(
+        F.col("_g").alias(prefix), F.col("_f").alias(frame), F.col("id").alias(point), F.col("near_id").alias("next_id"), F.col("dist").alias("displacement")
     )
