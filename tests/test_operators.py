@@ -112,6 +112,10 @@ def test_windows_stay_inside(spark):
     scenes = spark.createDataFrame([("a", 300, 260), ("b", 200, 400)], "scene_id string, nx int, ny int")
     w = tiling.moving_windows(scenes, (10, 2))
     assert w.filter("scene_id = 'b'").isEmpty()
+    tiling.register_sql(spark)
+    scenes.createOrReplaceTempView("scenes")
+    sql = spark.sql("select s.scene_id, w.i, w.j from scenes s, lateral moving_window(s.nx, s.ny, 256, 256, 10, 2) w")
+    assert sorted(map(tuple, sql.collect())) == sorted(tuple(r) for r in w.select("scene_id", "i", "j").collect())
     assert w.count() == 5 * 3 and w.filter("i + 256 > nx or j + 256 > ny").isEmpty()
 
 
@@ -177,3 +181,17 @@ def test_links_in_crowded_cells(spark, monkeypatch):
         monkeypatch.setattr(knn, "CELL_PAIRS", pairs)
         got = {(r["frame"], r["point_id"], r["next_id"]) for r in trajectories.link_points(df, 0.7).collect()}
         assert got == want
+
+
+def test_intermediates_are_dropped(spark):
+    from pathlib import Path
+
+    from tilequery import session
+
+    df = session.materialize(spark.range(10))
+    folder = Path(session._scratch(spark).removeprefix("file:"))
+    assert df.count() == 10 and any(folder.iterdir())
+    session.drop_intermediates(spark)
+    assert not folder.exists()
+    with pytest.raises(ValueError):
+        session.bounded_rows(spark.range(10), 5, "rows")

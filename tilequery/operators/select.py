@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilequery.schema import TILE_TYPES, require
-from tilequery.session import bounded_rows, broadcast_if_small, materialize
+from tilequery.session import bounded_rows, broadcast_if_small, inline_if_small, materialize
 
 
 def of_type(df: DataFrame, tile_type: str) -> DataFrame:
@@ -134,7 +134,7 @@ def numbered(df: DataFrame, *order: Column | str, name: str = "row") -> DataFram
     offsets = counts.select("_p", before.alias("_o"))  # one row per partition
     return (
         parts.withColumn("_p", part)
-        .join(broadcast_if_small(offsets), "_p")
+        .join(inline_if_small(offsets), "_p")
         .withColumn(name, F.col("_o") + place)
         .drop("_p", "_o", "_m")
     )
@@ -250,8 +250,5 @@ def with_hue(df: DataFrame, labels: DataFrame, key: str = "tile_id", label: str
 
 def palette_of(labels: DataFrame, label: str) -> DataFrame:
     """Distinct labels with their position in sort order, from 0."""
-    names = labels.select(label).distinct()
-    spark = labels.sparkSession
-    values = sorted(r[0] for r in bounded_rows(names.filter(F.col(label).isNotNull()), 10_000, f"distinct {label}"))
-    schema = f"{label} {labels.schema[label].dataType.simpleString()}, palette_pos int"
-    return F.broadcast(spark.createDataFrame([(v, n) for n, v in enumerate(values)], schema))
+    rows = numbered(labels.select(label).filter(F.col(label).isNotNull()).distinct(), label, name="_r")
+    return inline_if_small(rows.select(label, F.col("_r").cast("int").alias("palette_pos")))

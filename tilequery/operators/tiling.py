@@ -211,3 +211,14 @@ def attach_coords(df: DataFrame, xs: DataFrame, ys: DataFrame, tile: tuple[int,
 def tile_centres(xs: DataFrame, ys: DataFrame) -> DataFrame:
     """Every (x, y) of a scene's coordinate lists."""
     return xs.select("scene_id", "x").join(ys.select("scene_id", "y"), "scene_id")
+
+
+def register_sql(spark) -> None:
+    """``moving_window(nx, ny, nxt, nyt, sx, sy)`` as a table function for SQL: one row ``(i, j)`` per window."""
+    spark.sql(
+        """create or replace temporary function moving_window(nx int, ny int, nxt int, nyt int, sx int, sy int)
+           returns table (i int, j int)
+           return select i, j from inline(if(nx >= nxt and ny >= nyt,
+                  flatten(transform(sequence(0, ny - nyt, sy), b -> transform(sequence(0, nx - nxt, sx), a -> named_struct('i', a, 'j', b)))),
+                  cast(array() as array<struct<i: int, j: int>>)))"""
+    )

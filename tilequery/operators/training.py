@@ -13,7 +13,7 @@ from tilequery.operators.knn import vectors_of
 from tilequery.operators.select import split_exact
 from tilequery.operators.transforms import MAX_DIMS, MODELS, Model
 from tilequery.schema import TILE_TYPES, require
-from tilequery.session import shared_dir
+from tilequery.session import scratch_path
 
 #: fixed values: margin, learning rate, weight decay, embedding width
 MARGIN, RATE, DECAY, DIMS = 1.0, 1e-2, 0.01, 100
@@ -135,9 +135,7 @@ def fit_head(features: DataFrame, dims: int = DIMS, margin: float = MARGIN, lr:
     spark = features.sparkSession
     train, valid = split_exact(features.select(key, *TILE_TYPES), train_fraction, seed, key)
     batch = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.lit("batch")), F.lit(n_batches)).cast("int")
-    import uuid
-
-    path = f"{shared_dir(spark)}/tilequery-{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     train.withColumn("batch", batch).repartition("batch", F.pmod(F.xxhash64(key), F.lit(32))).write.partitionBy("batch").parquet(path)
     stored = spark.read.parquet(path)
     width = len(stored.select("anchor").first()[0])

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tilequery.operators import density, knn, linkage, training, transforms
@@ -12,7 +10,7 @@ from tilequery.plans.image_queries import CROP_MEANS, channel_means
 from tilequery.plans.inputs import EMB
 from tilequery.plans.registry import query
 from tilequery.plans.triplet_queries import _r
-from tilequery.session import shared_dir
+from tilequery.session import scratch_path
 
 
 @query(
@@ -65,6 +63,17 @@ def pca_total_variance(spark, sf):
     return spark.createDataFrame(rows, "n long, total double, ratio double").select("n", _r("total"), _r("ratio"))
 
 
+@query(
+    "pca_keeps_lengths",
+    f"""with {EMB}, u as (select tile_id, unnest(range(len(embedding))) d, unnest(embedding)::double v from emb), m as (select d, avg(v) m from u group by d)
+        select tile_id, round(sum((v - m) ** 2), 6) square from u join m using (d) group by tile_id""",
+)
+def pca_keeps_lengths(spark, sf):
+    """All components together only turn the centred vectors."""
+    out, _ = transforms.apply_transform(inputs.embeddings(spark, sf), "pca")
+    return out.select("tile_id", _r(F.aggregate("emb", F.lit(0.0), lambda a, v: a + v * v), "square"))
+
+
 @query("pca_projection")
 def pca_projection(spark, sf):
     out, _ = transforms.apply_transform(inputs.embeddings(spark, sf), "pca", n_components=4)
@@ -186,7 +195,7 @@ def cluster_samples_before_and_after(spark, sf):
 def streamed_scene_embeddings(spark, sf):
     from tilequery.streaming.scenes import scene_stream, stream_scenes
 
-    root = f"{shared_dir(spark)}/tilequery-{uuid.uuid4().hex}"
+    root = scratch_path(spark)
     inputs.page_scenes(spark, sf).write.parquet(f"{root}/scenes")
     run = stream_scenes(scene_stream(spark, f"{root}/scenes", "parquet"), channel_means, f"{root}/out", f"{root}/state", (8, 8), (16, 16))
     run.awaitTermination()

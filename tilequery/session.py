@@ -18,6 +18,8 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
+    # rows can be whole pictures: keep the batches handed to Python small
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 
@@ -55,11 +57,26 @@ def materialize(df: DataFrame) -> DataFrame:
     Cuts the lineage of iterative jobs and fixes values that several later jobs
     must agree on; a lost executor costs a re-read, not a recomputation.
     """
-    path = f"{shared_dir(df.sparkSession)}/tilequery-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path for an intermediate table of this application."""
+    return f"{_scratch(spark)}/{uuid.uuid4().hex}"
+
+
+def _scratch(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tilequery-{spark.sparkContext.applicationId}"
+
+
+def drop_intermediates(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables, once no result that reads them is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bounded_rows(df: DataFrame, limit: int, what: str) -> list[Row]:
     """Collect rows whose number must not exceed ``limit``; more is an error."""
     rows = df.take(limit + 1)
