@@ -60,21 +60,21 @@ def outline(df: DataFrame) -> DataFrame:
     return df.withColumn("outline", F.array(*ring))
 
 
-def crop_field(field: DataFrame, tiles: DataFrame) -> DataFrame:
+def crop_field(field: DataFrame, tiles: DataFrame, cell: float = 0.25) -> DataFrame:
     """Values of a gridded field (``lat, lon, …``) within each tile's box.
 
-    Field points and tiles meet in one-degree cells; a tile lists the cells it touches.
+    Field points and tiles meet in cells of ``cell`` degrees; a tile lists the cells it
+    touches, so candidates exceed the result only along the tiles' edges.
     """
     half = F.degrees(F.col("size") / F.lit(2.0 * EARTH_RADIUS))
     wide = half / F.cos(F.radians("lat"))
+    at = lambda c: F.floor(F.col(c) / F.lit(float(cell)))
     box = tiles.select(
         "tile_id",
         (F.col("lat") - half).alias("_s"), (F.col("lat") + half).alias("_n"),
         (wrap_lon(F.col("lon")) - wide).alias("_w"), (wrap_lon(F.col("lon")) + wide).alias("_e"),
     )
-    box = box.withColumn("_cy", F.explode(F.sequence(F.floor("_s"), F.floor("_n")))).withColumn(
-        "_cx", F.explode(F.sequence(F.floor("_w"), F.floor("_e")))
-    )
-    pts = field.withColumn("lon", wrap_lon(F.col("lon"))).withColumns({"_cy": F.floor("lat"), "_cx": F.floor("lon")})
+    box = box.withColumn("_cy", F.explode(F.sequence(at("_s"), at("_n")))).withColumn("_cx", F.explode(F.sequence(at("_w"), at("_e"))))
+    pts = field.withColumn("lon", wrap_lon(F.col("lon"))).withColumns({"_cy": at("lat"), "_cx": at("lon")})
     inside = F.col("lat").between(F.col("_s"), F.col("_n")) & F.col("lon").between(F.col("_w"), F.col("_e"))
     return pts.join(box, ["_cx", "_cy"]).filter(inside).drop("_cx", "_cy", "_s", "_n", "_w", "_e")

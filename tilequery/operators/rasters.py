@@ -29,15 +29,18 @@ def make_rgb(df: DataFrame, comps: list[int], alpha: float = 0.5, vector: str =
     rows = component(df, *comps, vector=vector, prefix="_c")
     names = [f"_c{k}" for k in comps]
     lim = min_max(rows, sorted(set(names)), by)
-    # one row, or one per group: the join is a broadcast of that single row, or by key
-    rows = rows.join(lim, by) if by else rows.join(F.broadcast(lim))
+    ends = F.struct(*[F.col(f"{e}_{c}") for c in sorted(set(names)) for e in ("lo", "hi")]).alias("_lim")
+    if by:
+        rows = rows.join(lim.select(*by, ends), by)
+    else:
+        rows = rows.withColumn("_lim", lim.select(ends).scalar())
 
     def unit(c: str) -> Column:
-        lo, hi = F.col(f"lo_{c}"), F.col(f"hi_{c}")
+        lo, hi = F.col("_lim")[f"lo_{c}"], F.col("_lim")[f"hi_{c}"]
         return F.when(hi > lo, (F.col(c) - lo) / (hi - lo)).otherwise(F.lit(0.0))
 
     rgba = {n: unit(c) for n, c in zip("rgb", names)}
-    return rows.withColumns({**rgba, "a": F.lit(float(alpha))}).drop(*set(names), *[f"{e}_{c}" for c in set(names) for e in ("lo", "hi")])
+    return rows.withColumns({**rgba, "a": F.lit(float(alpha))}).drop(*set(names), "_lim")
 
 
 def label_colours(df: DataFrame, label: str = "label", palette=PALETTE, alpha: float = 0.3) -> DataFrame:

@@ -24,8 +24,8 @@ def ecdf(df: DataFrame, column: str) -> DataFrame:
     """``value, n, cdf``: fraction of rows at or below each distinct value."""
     steps = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
     run = running_total(steps, ["value"], "n", "_c")
-    total = df.filter(F.col(column).isNotNull()).agg(F.count("*").alias("_all"))
-    return run.join(F.broadcast(total)).withColumn("cdf", F.col("_c") / F.col("_all")).select("value", "n", "cdf")
+    total = run.agg(F.max("_c").alias("_all")).scalar()  # the last running count is the number of rows
+    return run.withColumn("cdf", F.col("_c") / total).select("value", "n", "cdf")
 
 
 def inverse_ecdf(df: DataFrame, column: str, p: float | list[float]) -> float | list[float]:
