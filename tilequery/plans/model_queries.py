@@ -88,6 +88,23 @@ def pca_explained_variance(spark, sf):
     return cumulative_variance(model.variance_table(spark)).select("component", _r("explained_variance"), _r("cumulative", digits=2))
 
 
+@query(
+    "cumulative_variance",
+    f"""with {EMB}, u as (select unnest(range(len(embedding)))::int component, unnest(embedding)::double v from emb),
+        r as (select component, round(var_samp(v) / sum(var_samp(v)) over (), 6) explained_variance from u group by component)
+        select component, explained_variance, round(sum(round(explained_variance, 2)) over (order by component), 2) cumulative from r""",
+)
+def cumulative_variance(spark, sf):
+    """Running share of the total variance over the plain components."""
+    from tilequery.operators.select import explode_dims
+    from tilequery.operators.stats import cumulative_variance as running
+
+    v = explode_dims(inputs.embeddings(spark, sf)).withColumn("value", F.col("value").cast("double"))
+    per = v.groupBy(F.col("emb_dim").alias("component")).agg(F.var_samp("value").alias("var"))
+    share = F.round(F.col("var") / per.agg(F.sum("var")).scalar(), 6)
+    return running(per.select("component", share.alias("explained_variance"))).select("component", "explained_variance", _r("cumulative", digits=2))
+
+
 @query("kmeans_labels")
 def kmeans_labels(spark, sf):
     out, _ = transforms.apply_transform(inputs.embeddings(spark, sf), "kmeans", k=8, seed=1)
