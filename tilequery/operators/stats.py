@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilequery.operators.select import numbered
 from tilequery.schema import require
-from tilequery.session import bounded_rows, inline_if_small, materialize
+from tilequery.session import inline_if_small, materialize
 
 
 def running_total(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tilequery.functions.names import parse_scene_id
 from tilequery.operators.select import numbered
 from tilequery.schema import require
-from tilequery.session import broadcast_if_small, inline_if_small, materialize
+from tilequery.session import inline_if_small, materialize
 
 # --- values carried along a sorted sequence, split over range partitions ------
 

@@ -57,7 +57,7 @@ def points_with_scene(spark, sf):
 
 
 def _scene_times(spark, sf):
-    """A scene for every thousandth of the trajectories' points: the purchases."""
+    """Every purchase counts as a scene of its trajectory."""
     t = inputs.trajectories(spark, sf).filter("prefix = 'purchase'")
     return t.select("traj_id", "time", F.col("event_id").alias("scene_id"))
 
