@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilequery.llm import packing, sharding
+from tilequery.llm import lines, packing, sharding, sketch
 from tilequery.llm.registry import QUERIES, SQL, query, table
 
 SHARDS = 16
@@ -32,6 +32,12 @@ select doc_id, size, text_crc32, 'key' law, shard, row_number() over (partition
 """
 
 
+@query("op1_line_dedup")
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every document with its class of lines within two edits, and whether it stays."""
+    return lines.line_classes(table(spark, sf_dir, "documents")).drop("row")
+
+
 @query("op2_sharding", _SHARDING_SQL)
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard of 16 by its key, its slot there, and its shard of 17."""
@@ -55,5 +61,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"))
 
 
+@query("op7_minhash_near_dedup")
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-copy components of all documents: three-word shingles, similarity of 85 % or more."""
+    return sketch.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def all_queries():
     return QUERIES, SQL
