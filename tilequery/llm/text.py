@@ -10,6 +10,12 @@ BLOCK = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: everything but ASCII letters and digits and the bytes of longer characters
+NO_WORD = np.ones(256, bool)
+NO_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+#: as before, digits too are no part of a word
+NO_LETTER = NO_WORD.copy()
+NO_LETTER[48:58] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -41,13 +47,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+class Spans:
+    """64-bit hashes of spans of an array, the same wherever a span stands."""
+
+    def __init__(self, values: np.ndarray):
+        n = len(values)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((values.astype(np.uint64) + np.uint64(1)) * _powers(_P, n)[:n], out=self.sums[1:])
+        self.back = _powers(_P_INV, n + 1)
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        h = (self.sums[ends] - self.sums[starts]) * self.back[starts]
+        return mix(h + (ends - starts).astype(np.uint64))
+
+
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each ``values[start:end]``, the same wherever the span stands."""
-    n = len(values)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * _powers(_P, n)[:n], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * _powers(_P_INV, n + 1)[starts]
-    return mix(h + (ends - starts).astype(np.uint64))
+    """64-bit hash of each ``values[start:end]``."""
+    return Spans(values).hashes(starts, ends)
 
 
 def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -75,16 +91,16 @@ def blocks(batch: pa.RecordBatch, column: str = "text", size: int = BLOCK):
 
 
 class Words:
-    """Words (runs of other bytes than space and 0x09-0x0D) of a block of texts.
+    """Words (runs of other bytes than ``gaps``: space and 0x09-0x0D) of a block of texts.
 
     ``start``/``end``: byte positions in ``raw``; ``doc``: words of text i are ``doc[i]:doc[i + 1]``.
     """
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, gaps: np.ndarray = _SPACE):
         self.raw, at = text_buffers(texts)
         self.text_at = at
         n = len(self.raw)
-        space = _SPACE[self.raw]
+        space = gaps[self.raw]
         edge = np.zeros(n + 1, bool)
         edge[at] = True
         inner = ~space
@@ -99,9 +115,11 @@ class Words:
         self.doc = np.searchsorted(self.start, at)
         self.lower = lower
 
+    def spans(self) -> Spans:
+        return Spans(_LOWER[self.raw] if self.lower else self.raw)
+
     def hashes(self) -> np.ndarray:
-        raw = _LOWER[self.raw] if self.lower else self.raw
-        return span_hashes(raw, self.start, self.end)
+        return self.spans().hashes(self.start, self.end)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.doc)
