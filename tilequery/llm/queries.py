@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilequery.llm import lines, packing, sharding, sketch, tiling, toxicity
+from tilequery.llm import langid, lines, packing, sharding, sketch, tiling, toxicity
 from tilequery.llm.folds import fold
 from tilequery.llm.registry import QUERIES, SQL, query, table
 
@@ -74,6 +74,16 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+@query("op8_language_id")
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from two folds of three; ``und`` only without letters."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text", "lang")
+    held_out = fold(F.col("doc_id"), 3) == 1
+    model = langid.fit(docs.filter(~held_out))
+    found = model.predict(docs, reject=False) if model else docs.select("doc_id", F.lit(langid.UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 @query("op10_toxicity")
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from the labels of two folds of three."""
