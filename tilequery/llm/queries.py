@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilequery.llm import langid, lines, nearest, packing, repeats, sharding, sketch, tiling, toxicity
+from tilequery.llm import langid, lines, nearest, packing, pitmanyor, repeats, sharding, sketch, tiling, toxicity
 from tilequery.llm.folds import fold
 from tilequery.llm.registry import QUERIES, SQL, query, table
 
@@ -106,5 +106,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+@query("op9_lm_scoring")
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document under a Pitman-Yor model of six folds of seven, and under an add-one unigram."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
+    held_out = fold(F.col("doc_id"), 7) == 2
+    scored = pitmanyor.score_texts(docs, ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def all_queries():
     return QUERIES, SQL
