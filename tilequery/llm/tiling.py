@@ -133,7 +133,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = SEED_WORDS,
     A benchmark of at most ``shipped`` words travels with the tasks: a document is tiled where it is read. A larger one is
     joined by seed; pairs whose distinct seeds can reach the coverage get their texts by shuffle.
     """
-    docs = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
     bench = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string").alias("text")).filter("text is not null and item_id is not null")
     # a word has two bytes with the gap after it
     if (bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= 2 * shipped:
@@ -200,6 +200,6 @@ def _by_shuffle(docs: DataFrame, bench: DataFrame, least: int, coverage: float)
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents that :func:`contaminated` reports; columns stay."""
-    hits = contaminated(docs.select("doc_id", "text"), benchmark, **options).select(F.col("row").alias("_hit")).distinct()
-    kept = docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(materialize(hits), F.col("_row") == F.col("_hit"), "left_anti")
-    return kept.drop("_row")
+    hits = contaminated(docs.select("doc_id", "text"), benchmark, **options).select(F.col("row").alias("__hit")).distinct()
+    kept = docs.withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))).join(materialize(hits), F.col("__row") == F.col("__hit"), "left_anti")
+    return kept.drop("__row")
