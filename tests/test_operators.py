@@ -8,7 +8,7 @@ from conftest import SF, vectors
 from pyspark.sql import functions as F
 
 from tilequery.functions import names
-from tilequery.operators import augment, embed, manifold, measures, rasters, sampling, stats, tiling, triplets
+from tilequery.operators import augment, embed, geo, manifold, measures, rasters, sampling, stats, tiling, transforms, triplets
 from tilequery.operators import select as sel
 from tilequery.plans import inputs
 
@@ -195,3 +195,44 @@ def test_intermediates_are_dropped(spark):
     assert not folder.exists()
     with pytest.raises(ValueError):
         session.bounded_rows(spark.range(10), 5, "rows")
+
+
+def test_null_vectors_and_unknown_options(spark):
+    rng = np.random.default_rng(0)
+    rows = [(i, None if i % 5 == 0 else [float(v) for v in rng.normal(size=4)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "tile_id long, embedding array<double>")
+    for kind, options, result in (
+        ("standard_scaler", {}, "emb"), ("pca", {"n_components": 2, "whiten": True}, "emb"), ("kmeans", {"k": 2, "random_state": 3}, "label"),
+        ("hdbscan", {"min_cluster_size": 3}, "label"), ("isomap", {"n_neighbors": 4}, "emb"),
+    ):
+        out, model = transforms.apply_transform(df, kind, **options)
+        got = {r["tile_id"]: r[result] for r in out.collect()}
+        assert {i for i, v in got.items() if v is None} == set(range(0, 40, 5)) and len(got) == 40, kind
+        if kind == "pca":
+            assert np.allclose(np.var([v for v in got.values() if v is not None], axis=0, ddof=1), 1)
+    assert len(transforms.fit_pca(df, 0.99).components) <= 4
+    for kind in ("standard_scaler", "pca", "kmeans", "hdbscan", "pca_hdbscan", "isomap"):
+        with pytest.raises(TypeError):
+            transforms.apply_transform(df, kind, colour="blue")
+
+
+def test_longitudes(spark):
+    pts = spark.createDataFrame([(float(o), 0.0) for o in range(-180, 180, 10)], "lon double, lat double")
+    lons = lambda *e: sorted(r["lon"] for r in geo.in_extent(pts, e, (-1, 1)).collect())
+    assert lons(170, -170) == lons(-190, -170) == [-180.0, -170.0, 170.0]
+    assert len(lons(-180, 180)) == len(lons(0, 360)) == 36 and lons(0, 20) == [0.0, 10.0, 20.0]
+    around = geo.inside_polygon(F.col("lat"), F.col("lon"), [(-5, 165), (5, 165), (5, -165), (-5, -165)])
+    assert sorted(r["lon"] for r in pts.filter(around).collect()) == [-180.0, -170.0, 170.0]
+    tile = spark.createDataFrame([(1, 0.0, 179.95, 60000.0)], "tile_id long, lat double, lon double, size double")
+    field = spark.createDataFrame([(0.0, -179.9), (0.0, 179.9), (0.0, 178.0)], "lat double, lon double")
+    assert geo.crop_field(field, tile).count() == 2
+
+
+def test_uneven_steps_and_missing_labels(spark):
+    even = spark.createDataFrame([(1, 0), (1, 50), (1, 100)], "scene_id int, i0 int")
+    assert rasters.image_extent(even).first()["i0_max"] == 125
+    with pytest.raises(Exception, match="uneven steps"):
+        rasters.image_extent(spark.createDataFrame([(1, 0), (1, 50), (1, 175)], "scene_id int, i0 int")).collect()
+    labels = spark.createDataFrame([(0, "a"), (1, None), (2, "b")], "tile_id int, label string")
+    got = {r["tile_id"]: (r["r"], r["g"], r["b"]) for r in rasters.label_colours(labels, background="b").collect()}
+    assert got == {0: (1.0, 0.0, 0.0), 1: (1.0, 1.0, 1.0), 2: (1.0, 1.0, 1.0)}

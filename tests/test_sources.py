@@ -86,7 +86,10 @@ def test_pictures(spark, tile_dir, tmp_path):
     cached = images.cache_images(tiles, str(tmp_path / "px"))
     assert cached.count() == 36
     (folder / "bad.png").write_bytes(b"no picture")
-    assert images.load_images(spark, str(folder)).count() == 1
+    # a truncated picture keeps its row unless asked otherwise
+    kept = {r["filepath"]: r["pixels"] for r in images.load_images(spark, str(folder)).collect()}
+    assert len(kept) == 2 and sum(v is None for v in kept.values()) == 1
+    assert images.load_images(spark, str(folder), drop_invalid=True).count() == 1
 
 
 def test_tile_definitions_and_domain(spark, tile_dir, tmp_path):

@@ -43,30 +43,39 @@ def make_rgb(df: DataFrame, comps: list[int], alpha: float = 0.5, vector: str =
     return rows.withColumns({**rgba, "a": F.lit(float(alpha))}).drop(*set(names), "_lim")
 
 
-def label_colours(df: DataFrame, label: str = "label", palette=PALETTE, alpha: float = 0.3) -> DataFrame:
-    """Colour of each discrete label, by its position in sort order."""
+def label_colours(df: DataFrame, label: str = "label", palette=PALETTE, alpha: float = 0.3, background=None) -> DataFrame:
+    """Colour of each discrete label, by its position in sort order; rows without label and the ``background`` label are white."""
     colours = F.array(*[F.struct(*[F.lit(float(v)).alias(n) for n, v in zip("rgb", c)]) for c in palette])
-    out = df.join(palette_of(df, label), label)
-    c = F.get(colours, F.pmod(F.col("palette_pos"), F.lit(len(palette))))
+    out = df.join(palette_of(df, label), label, "left")
+    white = F.struct(*[F.lit(1.0).alias(n) for n in "rgb"])
+    blank = F.col(label).isNull() if background is None else F.col(label).isNull() | (F.col(label) == F.lit(background))
+    c = F.when(blank, white).otherwise(F.get(colours, F.pmod(F.col("palette_pos"), F.lit(len(palette)))))
     return out.withColumn("_c", c).select(*df.columns, "palette_pos", "_c.r", "_c.g", "_c.b", F.lit(float(alpha)).alias("a"))
 
 
 def image_extent(df: DataFrame, by: str = "scene_id", cropped: bool = True) -> DataFrame:
     """Pixel and coordinate limits of the tile centres per scene, widened by half a step when ``cropped``.
 
-    Steps must be even; they follow from the limits and the number of distinct values.
+    Steps follow from the limits and the number of distinct values; the result fails for a scene
+    whose centres do not lie on even steps.
     """
     axes = [c for c in ("i0", "j0", "x", "y") if c in df.columns]
     agg = []
     for c in axes:
         agg += [F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"), F.countDistinct(c).alias(f"n_{c}")]
-    out = df.groupBy(by).agg(*agg)
+    limits = df.groupBy(by).agg(*agg)
+    # how far from a whole number of steps the centres lie, at most
+    def off(c):
+        steps = (F.col(c) - F.col(f"lo_{c}")) * (F.col(f"n_{c}") - 1) / F.nullif(F.col(f"hi_{c}") - F.col(f"lo_{c}"), F.lit(0))
+        return F.coalesce(F.max(F.abs(steps - F.round(steps))), F.lit(0.0)).alias(f"off_{c}")
+
+    out = limits.join(df.select(by, *axes).join(limits, by).groupBy(by).agg(*[off(c) for c in axes]), by)
     for c in axes:
         step = (F.col(f"hi_{c}") - F.col(f"lo_{c}")) / (F.col(f"n_{c}") - 1)
         half = F.floor(step / 2) if cropped else F.lit(0)
         half = F.when(F.col(f"n_{c}") > 1, half).otherwise(F.lit(0))
         out = out.withColumns(
-            {f"{c}_min": (F.col(f"lo_{c}") - half).cast("double"), f"{c}_max": (F.col(f"hi_{c}") + half).cast("double")}
+            {f"{c}_min": F.when(F.col(f"off_{c}") > 1e-6, F.raise_error(F.lit(f"uneven steps in {c}")).cast("double")).otherwise((F.col(f"lo_{c}") - half).cast("double")), f"{c}_max": (F.col(f"hi_{c}") + half).cast("double")}
         )
     return out.select(by, *[f"{c}_{e}" for c in axes for e in ("min", "max")])
 
@@ -76,7 +85,7 @@ def component_map(df: DataFrame, comps: list[int], vector: str = "embedding", va
     want = F.array(*[F.struct(F.lit(k).alias("component"), F.get(F.col(vector), F.lit(k)).cast("double").alias("value")) for k in comps])
     out = df.withColumn("_c", F.explode(want)).drop(vector).select("*", "_c.*").drop("_c")
     if variance is not None:
-        out = out.join(F.broadcast(variance.select("component", F.round("explained_variance", 2).alias("explained_variance"))), "component", "left")
+        out = out.join(variance.select("component", F.round("explained_variance", 2).alias("explained_variance")), "component", "left")
     return out
 
 

@@ -243,9 +243,9 @@ def with_images(ids: DataFrame, images: DataFrame, key: str = "tile_id") -> Data
 
 
 def with_hue(df: DataFrame, labels: DataFrame, key: str = "tile_id", label: str = "hue") -> DataFrame:
-    """Per-tile label and its palette position (rank of the label, from 0)."""
+    """Per-tile label and its palette position (rank of the label, from 0); both NULL for tiles without a label."""
     palette = palette_of(labels, label)
-    return df.join(labels.select(key, label), key).join(palette, label)
+    return df.join(labels.select(key, label), key, "left").join(palette, label, "left")
 
 
 def palette_of(labels: DataFrame, label: str) -> DataFrame:

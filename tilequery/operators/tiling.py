@@ -191,17 +191,20 @@ def attach_coords(df: DataFrame, xs: DataFrame, ys: DataFrame, tile: tuple[int,
     """Scene coordinates of tile centres: x by ``i0``, y by the reversed ``j0``, lat/lon by both.
 
     ``xs``: ``scene_id, i, x``; ``ys``: ``scene_id, j, y`` (y grows with j); tile lengths
-    ``lx_tile``/``ly_tile`` span one tile from the first coordinate.
+    ``lx_tile``/``ly_tile`` span one tile from the first coordinate. A tile whose scene,
+    column or row has no coordinate fails the result.
     """
     size_y = ys.groupBy("scene_id").agg(F.count("*").alias("_ny"))
     first = lambda t, c, v, n: t.groupBy("scene_id").agg(
         (F.max(F.when(F.col(c) == n, F.col(v))) - F.max(F.when(F.col(c) == 0, F.col(v)))).alias(f"l{v}_tile")
     )
     per_scene = size_y.join(first(xs, "i", "x", tile[0]), "scene_id").join(first(ys, "j", "y", tile[1]), "scene_id")
-    out = df.join(per_scene, "scene_id").withColumn("_j", F.col("_ny") - 1 - F.col("j0"))
-    out = out.join(xs.select("scene_id", F.col("i").alias("i0"), "x"), ["scene_id", "i0"]).join(
-        ys.select("scene_id", F.col("j").alias("_j"), "y"), ["scene_id", "_j"]
+    out = df.join(per_scene, "scene_id", "left").withColumn("_j", F.col("_ny") - 1 - F.col("j0"))
+    out = out.join(xs.select("scene_id", F.col("i").alias("i0"), "x"), ["scene_id", "i0"], "left").join(
+        ys.select("scene_id", F.col("j").alias("_j"), "y"), ["scene_id", "_j"], "left"
     )
+    known = lambda c: F.coalesce(F.col(c), F.raise_error(F.lit(f"a tile without {c} coordinate")).cast("double"))
+    out = out.withColumns({"x": known("x"), "y": known("y")})
     if latlon is not None:
         ll = latlon.select("scene_id", F.col("i").alias("i0"), F.col("j").alias("_j"), "lat", "lon")
         out = out.join(ll, ["scene_id", "i0", "_j"], "left")

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from tilequery.functions import pixels
 from tilequery.operators import augment as aug
-from tilequery.operators import embed, manifold, measures, stats, tiling
+from tilequery.operators import embed, manifold, measures, stats, tiling, transforms
 from tilequery.plans import inputs
 from tilequery.plans.inputs import FLAT, PAGE_HEX, PIXELS
 from tilequery.plans.registry import query
 from tilequery.plans.triplet_queries import _r
+from tilequery.session import materialize
 
 
 @query(
@@ -233,6 +234,27 @@ def trajectory_embeddings(spark, sf):
     return e.select("event_id", "scene_id", "i", "j", _r(F.col("embedding")[0].cast("double"), "e0", 4))
 
 
+@query(
+    "transforms_of_trajectory_embeddings",
+    f"""with {PAGE_HEX}, p as (select event_id, (user_id % (select count(*) from pages))::bigint scene_id, (value % 40)::int i, (event_id % 30)::int j from
+                              (select event_id, user_id, floor(value)::bigint as value from events)),
+        v as (select event_id, i between 8 and 24 and j between 8 and h - 8 ok from p left join pic using (scene_id))
+        select kind, count(*) n, count(*) filter (coalesce(ok, false)) n_transformed from v, (values ('kmeans'), ('pca'), ('standard_scaler')) k(kind) group by kind""",
+)
+def transforms_of_trajectory_embeddings(spark, sf):
+    """Points outside a scene have NULL vectors: they stay, with a NULL result, in every transform."""
+    n = inputs.table(spark, sf, "pages").count()
+    p = inputs.table(spark, sf, "events").select(
+        "event_id", (F.col("user_id") % n).alias("scene_id"), (F.floor("value") % 40).cast("int").alias("i"), (F.col("event_id") % 30).cast("int").alias("j")
+    )
+    rows = materialize(embed.embed_trajectories(p, inputs.page_scenes(spark, sf), channel_means, (16, 16)).select(F.col("event_id").alias("tile_id"), "embedding"))
+    parts = []
+    for kind, options, result in (("standard_scaler", {}, "emb"), ("pca", {"n_components": 2}, "emb"), ("kmeans", {"k": 3}, "label")):
+        out, _ = transforms.apply_transform(rows, kind, **options)
+        parts.append(out.groupBy(F.lit(kind).alias("kind")).agg(F.count("*").alias("n"), F.count(result).alias("n_transformed")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("augmented_tiles")
 def augmented_tiles(spark, sf):
     t = aug.image_chain(inputs.images(spark, sf), "train", epoch=1, seed=2)

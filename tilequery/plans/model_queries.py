@@ -167,7 +167,7 @@ def _projection(kind: str, **kwargs):
     return run
 
 
-query("isomap_projection")(_projection("isomap", n_neighbors=5, n_landmarks=32))
+query("isomap_projection")(_projection("isomap", n_neighbors=5))
 query("lle_projection")(_projection("lle", n_neighbors=8))
 query("ltsa_projection")(_projection("ltsa", n_neighbors=8))
 query("hessian_lle_projection")(_projection("hessian_lle", n_neighbors=8))

@@ -210,6 +210,30 @@ def places_in_extent(spark, sf):
     return geo.in_extent(_places(spark, sf), (-70, -40), (36, 40)).select("event_id")
 
 
+#: the same places turned so that they lie on both sides of the date line, and all around the globe
+_DATE_LINE = f"{PLACES}, turned as (select event_id, lat, lon - 115 lon from places)"
+
+
+def _turned(spark, sf):
+    return _places(spark, sf).withColumn("lon", F.col("lon") - 115)
+
+
+@query(
+    "places_in_extent_over_date_line",
+    f"with {_DATE_LINE} select event_id from turned where (lon between 170 and 190 or lon - 360 between 170 and 190) and lat between 36 and 50",
+)
+def places_in_extent_over_date_line(spark, sf):
+    return geo.in_extent(_turned(spark, sf), (170, -170), (36, 50)).select("event_id")
+
+
+@query("places_everywhere", f"with {PLACES} select event_id, 'c' || k as circle from places, range(3) r(k) where lat between 36 and 50")
+def places_everywhere(spark, sf):
+    p = _places(spark, sf)
+    circles = ((-180, 180), (0, 360), (100, 460))
+    parts = [geo.in_extent(p, c, (36, 50)).select("event_id", F.lit(f"c{k}").alias("circle")) for k, c in enumerate(circles)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 _EDGES = ", ".join(
     f"({a[0]}::double, {a[1] - 360}::double, {b[0]}::double, {b[1] - 360}::double)" for a, b in zip(DOMAIN, DOMAIN[1:] + DOMAIN[:1])
 )
@@ -256,3 +280,13 @@ def tile_outlines(spark, sf):
 )
 def field_within_tiles(spark, sf):
     return geo.crop_field(_places(spark, sf), _geo_tiles(spark, sf)).select("tile_id", "event_id")
+
+
+@query(
+    "field_within_tiles_over_date_line",
+    f"""with {_DATE_LINE}, {TILES}, t2 as (select tile_id, lat, lon - 115 lon, size from tl)
+        select tile_id, event_id from turned p join t2 on abs(p.lat - t2.lat) <= {_HALF} and abs(p.lon - t2.lon) <= {_HALF} / cos(radians(t2.lat))""",
+)
+def field_within_tiles_over_date_line(spark, sf):
+    tiles = _geo_tiles(spark, sf).withColumn("lon", F.col("lon") - 115)
+    return geo.crop_field(_turned(spark, sf), tiles).select("tile_id", "event_id")

@@ -10,23 +10,24 @@ from tilequery.functions.pixels import source_to_rgb
 from tilequery.operators.stats import assert_uniform
 
 
-def load_images(spark: SparkSession, path: str, ext: str = "png", drop_invalid: bool = True) -> DataFrame:
-    """``filepath, h, w, pixels`` (RGB bytes, alpha dropped); undecodable files are dropped or have NULL pixels."""
+def load_images(spark: SparkSession, path: str, ext: str = "png", drop_invalid: bool = False) -> DataFrame:
+    """``filepath, h, w, pixels`` (RGB bytes, alpha dropped); undecodable files have NULL size and pixels, or are dropped on request."""
     raw = (
         spark.read.format("image").option("pathGlobFilter", f"*.{ext}").option("dropInvalid", str(drop_invalid).lower()).load(path)
     )
     img = F.col("image")
+    read = lambda c: F.when(img["nChannels"] > 0, c)
     return raw.select(
         file_name(img["origin"]).alias("filepath"),
-        img["height"].alias("h"),
-        img["width"].alias("w"),
-        source_to_rgb(img["height"], img["width"], img["nChannels"], img["data"]).alias("pixels"),
+        read(img["height"]).alias("h"),
+        read(img["width"]).alias("w"),
+        source_to_rgb(*[read(img[c]) for c in ("height", "width", "nChannels", "data")]).alias("pixels"),
     )
 
 
 def load_tiles(spark: SparkSession, path: str, tiles: DataFrame, ext: str = "png") -> DataFrame:
-    """Catalogue rows with their decoded pixels."""
-    return tiles.join(load_images(spark, path, ext), "filepath")
+    """Catalogue rows with their decoded pixels; a missing or undecodable picture leaves them NULL."""
+    return tiles.join(load_images(spark, path, ext), "filepath", "left")
 
 
 def scan_scenes(spark: SparkSession, path: str, fmt: str = SCENE_NAME, ext: str = "png", filter_fn=None) -> DataFrame:
