@@ -16,6 +16,8 @@ from tilequery.session import materialize
 REGISTERS = 64
 BASE = 1.001
 RATE = 20.0
+#: smallest shingle hashes kept of each set for comparisons inside a bucket
+LOWEST = 256
 #: members of a bucket compared with each other in one block
 BLOCK_MEMBERS = 512
 _SEEDS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -63,6 +65,29 @@ def likely(equal: np.ndarray, more: np.ndarray, less: np.ndarray, n_a: np.ndarra
     return np.take_along_axis(j, like.argmax(1)[:, None], 1)[:, 0]
 
 
+def _lowest(s: np.ndarray) -> bytes:
+    """The upper halves of the ``LOWEST`` smallest hashes of a sorted set."""
+    return (s[:LOWEST] >> np.uint64(32)).astype(np.uint32).tobytes()
+
+
+def shared_low(low: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs of lowest-hash arrays: how many values both have, and how many either has up to where both are complete."""
+    top = np.array([a[-1] if len(a) == LOWEST else 0xFFFFFFFF for a in low], np.uint32)
+    if len(i) < 200:
+        both = np.array([len(np.intersect1d(low[a], low[b], assume_unique=True)) for a, b in zip(i, j)], np.int64)
+    else:  # all pairs of the block at once: incidence matrix times its transpose
+        rows, left = np.unique(i, return_inverse=True)
+        cols, right = np.unique(j, return_inverse=True)
+        values, at = np.unique(np.concatenate(low), return_inverse=True)
+        owner = np.repeat(np.arange(len(low)), [len(a) for a in low])
+        has = np.zeros((len(low), len(values)), np.float32)
+        has[owner, at] = 1
+        both = (has[rows] @ has[cols].T)[left, right].round().astype(np.int64)
+    end = np.minimum(top[i], top[j])
+    n = [np.array([np.searchsorted(low[a], e, "right") for a, e in zip(x, end)], np.int64) for x in (i, j)]
+    return both, n[0] + n[1] - both
+
+
 def _band_keys(regs: np.ndarray, rows: int) -> np.ndarray:
     """Hash of every run of ``rows`` registers, [sets, bands]; the band's number is part of it."""
     bands = REGISTERS // rows
@@ -103,9 +128,16 @@ class _Plan:
             ok[at] = est >= self.floor
         return ok
 
+    def passes_low(self, low: list[np.ndarray], whole: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The same for pairs inside a bucket from their lowest hashes: exact where both sets are wholly kept, else 4.5 standard errors below."""
+        both, either = shared_low(low, i, j)
+        s = self.percent / 100
+        exact = whole[i] & whole[j]
+        return np.where(exact, 100 * both >= self.percent * either, both >= (s - 4.5 * math.sqrt(s * (1 - s) / LOWEST)) * either)
+
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n_shingles, d1, d2, regs`` of every row: set size, 128-bit digest of the set, registers (null for an empty set)."""
+    """``doc_id, n_shingles, d1, d2, regs, low`` of every row: set size, 128-bit digest of the set, registers and lowest hashes (null for an empty set)."""
 
     def run(batches):
         for batch in batches:
@@ -115,6 +147,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                 n = np.array([len(s) for s in sets], np.int64)
                 d1, d2 = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
                 regs: list = [None] * len(sets)
+                low = [_lowest(x) if len(x) else None for x in sets]
                 if full:
                     rows, where = registers(full), np.flatnonzero(n)
                     d1[where] = [s.sum(dtype=np.uint64) for s in full]
@@ -122,10 +155,10 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                     for i, r in zip(where, rows):
                         regs[i] = r.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n), as_long(d1), as_long(d2), pa.array(regs, pa.binary())], ["doc_id", "n_shingles", "d1", "d2", "regs"]
+                    [part.column("doc_id"), pa.array(n), as_long(d1), as_long(d2), pa.array(regs, pa.binary()), pa.array(low, pa.binary())], ["doc_id", "n_shingles", "d1", "d2", "regs", "low"]
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, regs binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, regs binary, low binary")
 
 
 def _explode_bands(reps: DataFrame, rows: int) -> DataFrame:
@@ -193,23 +226,27 @@ def _between_parts(buckets: DataFrame, reps: DataFrame, plan: _Plan) -> DataFram
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
     rows = rows.select(
         "bucket", "id", "head", "part", "_mine", F.least("_mine", "_other").alias("lo"), F.greatest("_mine", "_other").alias("hi")
-    ).join(reps.select("id", "n", "regs"), "id")
+    ).join(reps.select("id", "n", "regs", "low"), "id")
 
     def compare(g: dict):
         keys, regs = _band_keys(g["regs"], plan.rows), g["regs"]
         band = np.flatnonzero(keys[0] == np.uint64(g["bucket"] & 0xFFFFFFFFFFFFFFFF))[0]
-        left = np.flatnonzero(g["mine"] == g["lo"])
-        for i in left:
-            j = np.flatnonzero((g["part"] != g["part"][i]) & (g["id"] != g["id"][i]))
+        pairs: list[tuple[int, np.ndarray]] = []
+        for i in np.flatnonzero((g["mine"] == g["lo"]) & (g["id"] != g["head"])).tolist():
+            j = np.flatnonzero((g["part"] != g["part"][i]) & (g["id"] != g["id"][i]) & (g["id"] != g["head"]))
             j = j[g["id"][j] > g["id"][i]] if g["lo"] == g["hi"] else j[g["mine"][j] == g["hi"]]
-            if g["id"][i] == g["head"]:
-                continue
-            j = j[g["id"][j] != g["head"]]
             j = j[~(keys[j, :band] == keys[i, :band]).any(1)]
             if len(j):
-                ok = plan.passes(np.broadcast_to(regs[i], (len(j), REGISTERS)), regs[j], np.full(len(j), g["n"][i]), g["n"][j])
-                for k in g["id"][j[ok]].tolist():
-                    yield min(g["id"][i], k), max(g["id"][i], k)
+                j = j[plan.passes(np.broadcast_to(regs[i], (len(j), REGISTERS)), regs[j], np.full(len(j), g["n"][i]), g["n"][j])]
+            if len(j):
+                pairs.append((i, j))
+        if not pairs:
+            return np.zeros((2, 0), np.int64)
+        i, j = np.repeat([p[0] for p in pairs], [len(p[1]) for p in pairs]), np.concatenate([p[1] for p in pairs])
+        whole = np.array([len(a) == n and len(np.unique(a)) == n for a, n in zip(g["low"], g["n"])])
+        ok = plan.passes_low(g["low"], whole, i, j)
+        a, b = g["id"][i[ok]], g["id"][j[ok]]
+        return np.stack([np.minimum(a, b), np.maximum(a, b)])
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -219,8 +256,8 @@ def _between_parts(buckets: DataFrame, reps: DataFrame, plan: _Plan) -> DataFram
             t = pa.Table.from_batches(held).combine_chunks()
             col = lambda c: t.column(c).to_numpy()
             g = {"bucket": now[0], "lo": now[1], "hi": now[2], "head": t.column("head")[0].as_py(), "id": col("id"), "part": col("part"), "mine": col("_mine"), "n": col("n"), "regs": _regs(t.column("regs"))}
-            found = list(compare(g))
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+            g["low"] = [np.frombuffer(x, np.uint32) for x in t.column("low").to_pylist()]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in compare(g)], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -261,8 +298,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     all_ = materialize(sketches(docs, width))
     live = all_.filter("n_shingles > 0 and doc_id is not null")
     classes = live.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    member = materialize(live.join(classes, ["n_shingles", "d1", "d2"]).select("doc_id", "rep", F.col("n_shingles").alias("n"), F.when(F.col("doc_id") == F.col("rep"), F.col("regs")).alias("regs")))
-    reps = member.filter("regs is not null").select(F.col("rep").alias("id"), "n", "regs").dropDuplicates(["id", "n"])
+    member = materialize(live.join(classes, ["n_shingles", "d1", "d2"]).select("doc_id", "rep", F.col("n_shingles").alias("n"), *[F.when(F.col("doc_id") == F.col("rep"), F.col(c)).alias(c) for c in ("regs", "low")]))
+    reps = member.filter("regs is not null").select(F.col("rep").alias("id"), "n", "regs", "low").dropDuplicates(["id", "n"])
 
     bands = _explode_bands(reps, plan.rows)
     heads = bands.groupBy("bucket").agg(F.min("id").alias("head"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
@@ -282,3 +319,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     out = all_.join(parts, all_["doc_id"] == parts["node"], "left")
     comp = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each component of :func:`near_duplicates`; columns stay, so do rows without doc_id."""
+    gone = near_duplicates(docs.select("doc_id", "text"), width, percent).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(materialize(gone), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
