@@ -132,7 +132,8 @@ def trajectory_window(points: DataFrame, scenes: DataFrame, dt_minutes: float =
     parts = F.array_compact(
         F.array(F.when(F.col("_q") <= F.col("_s"), F.lit("past")), F.when(F.col("_q") >= F.col("_s"), F.lit("future")))
     )
-    rows = near.withColumn("part", F.explode(parts)).withColumnRenamed("_t", "scene_time").drop("_b", "_q", "_s")
+    # stored, since the parts are counted and then picked: the join runs once
+    rows = materialize(near.withColumn("part", F.explode(parts)).withColumnRenamed("_t", "scene_time").drop("_b", "_q", "_s"))
     keep = rows.groupBy("scene_id", key, "part").agg(F.count("*").alias("n_points")).filter(F.col("n_points") > 1)
     return rows.join(keep, ["scene_id", key, "part"])
 
@@ -258,7 +259,8 @@ def link_points(points: DataFrame, max_displacement: float, prefix: str = "prefi
         )
         later = here.select("_g", (F.col("_f") - 1).alias("_f"), "cx", "cy", F.col("id").alias("near_id"), F.col("x").alias("_x"), F.col("y").alias("_y"))
         gap = F.sqrt((F.col("x") - F.col("_x")) * (F.col("x") - F.col("_x")) + (F.col("y") - F.col("_y")) * (F.col("y") - F.col("_y")))
-        pairs = ahead.join(later, meet).select("_g", "_f", "id", "near_id", gap.alias("dist")).filter(F.col("dist") <= r)
+        # stored, since both directions look at the pairs
+        pairs = materialize(ahead.join(later, meet).select("_g", "_f", "id", "near_id", gap.alias("dist")).filter(F.col("dist") <= r))
         fwd = pairs.groupBy("_g", "_f", "id").agg(F.min(F.struct("dist", "near_id")).alias("b")).select("_g", "_f", "id", "b.near_id", "b.dist")
         back = pairs.groupBy("_g", "_f", "near_id").agg(F.min(F.struct("dist", "id")).alias("b")).select("_g", "_f", "near_id", "b.id")
     else:  # crowded cells: the block kernel keeps one candidate per point

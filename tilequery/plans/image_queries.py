@@ -222,8 +222,8 @@ def scene_embedding_map_pending(spark, sf):
     f"""with {PAGE_HEX}, p as (select event_id, (user_id % (select count(*) from pages))::bigint scene_id, (value % 40)::int i, (event_id % 30)::int j from
                               (select event_id, user_id, floor(value)::bigint as value from events)),
         v as (select event_id, p.scene_id, i, j, h, hx, i between 8 and 24 and j between 8 and h - 8 ok from p left join pic using (scene_id)),
-        c as (select event_id, list_sum(list_transform(range(256), lambda k: ('0x' || substr(hx, (((j - 8 + k // 16) * 32 + i - 8 + k % 16) * 6 + 1)::bigint, 2))::int)) s from v where ok)
-        select event_id, p.scene_id, i, j, round(s / 256 / 255, 4)::double e0 from p left join c using (event_id)""",
+        c as (select event_id, {", ".join(f"list_sum(list_transform(range(256), lambda k: ('0x' || substr(hx, (((j - 8 + k // 16) * 32 + i - 8 + k % 16) * 6 + {2 * c + 1})::bigint, 2))::int)) s{c}" for c in range(3))} from v where ok)
+        select event_id, p.scene_id, i, j, {", ".join(f"s{c}::double e{c}" for c in range(3))} from p left join c using (event_id)""",
 )
 def trajectory_embeddings(spark, sf):
     n = inputs.table(spark, sf, "pages").count()
@@ -231,7 +231,8 @@ def trajectory_embeddings(spark, sf):
         "event_id", (F.col("user_id") % n).alias("scene_id"), (F.floor("value") % 40).cast("int").alias("i"), (F.col("event_id") % 30).cast("int").alias("j")
     )
     e = embed.embed_trajectories(p, inputs.page_scenes(spark, sf), channel_means, (16, 16))
-    return e.select("event_id", "scene_id", "i", "j", _r(F.col("embedding")[0].cast("double"), "e0", 4))
+    # the sum of a crop's 256 levels: whole numbers, so no rounding can differ
+    return e.select("event_id", "scene_id", "i", "j", *[F.round(F.col("embedding")[c].cast("double") * (256 * 255)).alias(f"e{c}") for c in range(3)])
 
 
 @query(
