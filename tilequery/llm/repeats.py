@@ -13,7 +13,7 @@ from tilequery.session import materialize
 #: words of the anchors by which windows are dealt to shards
 ANCHOR = 8
 #: bytes of text per shard, and of the bit table of repeated anchors (a fixed size at any scale)
-SHARD_BYTES, TABLE_BYTES = 8 << 20, 32 << 20
+SHARD_BYTES, TABLE_BYTES = 3 << 20, 32 << 20
 #: bytes of text whose segments are gathered and collapsed before they are sent
 SENT_BYTES = 4 << 20
 #: windows searched one after the other; longer segments are cut with an overlap
