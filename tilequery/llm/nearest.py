@@ -11,7 +11,7 @@ from tilequery.session import materialize
 
 #: vectors of one shard (at most 65,535, places are 16 bits), queries that meet a shard at once
 SHARD_ROWS, QUERY_ROWS = 16_384, 4096
-PROJECTIONS = 128
+PROJECTIONS = 112
 #: half a window in units of the search radius: a vector at the radius collides in 82.6 % of the projections
 HALF_WINDOW = 1.36
 #: share of the projections in which a vector must collide to be verified
@@ -56,33 +56,39 @@ class SortedProjections:
         places = unit @ self.lines
         n = len(self.ids)
         least = int(np.ceil(THRESHOLD * PROJECTIONS))
-        start = self.radius(unit, k + 1)
-        for q in range(len(queries)):
-            radius = start
-            while True:
-                half = HALF_WINDOW * radius + 1e-4
+        radius = self.radius(unit, k + 1)
+        active = np.arange(len(queries))
+        while len(active):
+            half = HALF_WINDOW * radius + 1e-4
+            # the window [low, low + size) of each sorted line around each query
+            low, high = np.empty((2, len(active), PROJECTIONS), np.int64)
+            for p in range(PROJECTIONS):
+                low[:, p], high[:, p] = (np.searchsorted(self.sorted[p], places[active, p] + side) for side in (-half, half))
+            wide = high > low
+            low, size = low.astype(np.uint16), (high - low - 1).astype(np.uint16)
+            later = []
+            for i, q in enumerate(active.tolist()):
                 count = np.zeros(n, np.uint8)
-                for p in range(PROJECTIONS):
-                    low, high = np.searchsorted(self.sorted[p], (places[q, p] - half, places[q, p] + half))
-                    if high > low:  # the window [low, high) of the sorted line; unsigned differences wrap
-                        count += (self.rank[p] - np.uint16(low)) <= np.uint16(high - low - 1)
+                for p in np.flatnonzero(wide[i]).tolist():
+                    count += (self.rank[p] - low[i, p]) <= size[i, p]  # unsigned differences wrap
                 found = np.flatnonzero(count >= least)
+                near = self.unit[found] @ unit[q] if len(found) else np.zeros(0, np.float32)
+                full = len(found) == n or radius > 4
                 if len(found) >= min(n, k + 1):
-                    near = self.unit[found] @ unit[q]
                     kth = np.partition(near, len(near) - min(n, k + 1))[len(near) - min(n, k + 1)]
-                    if 2 - 2 * kth <= radius * radius or len(found) >= VERIFIED * n:
-                        break
-                if len(found) == n or radius > 4:
-                    break
-                radius *= GROWTH
-            near = self.unit[found] @ unit[q] if len(found) else np.zeros(0, np.float32)
-            if len(found) > k + 1:  # float errors are far below this margin
-                cut = np.partition(near, len(near) - k - 1)[len(near) - k - 1] - 1e-4
-                found = found[near >= cut]
-            found = found[self.ids[found] != query_ids[q]]
-            score = (self.vectors[found] * queries[q]).sum(1)
-            best = np.lexsort((self.ids[found], -score))[:k]
-            yield query_ids[q], self.ids[found[best]], score[best]
+                    full |= bool(2 - 2 * kth <= radius * radius) or len(found) >= VERIFIED * n
+                if not full:
+                    later.append(q)
+                    continue
+                if len(found) > k + 1:  # float errors are far below this margin
+                    cut = np.partition(near, len(near) - k - 1)[len(near) - k - 1] - 1e-4
+                    found = found[near >= cut]
+                found = found[self.ids[found] != query_ids[q]]
+                score = (self.vectors[found] * queries[q]).sum(1)
+                best = np.lexsort((self.ids[found], -score))[:k]
+                yield query_ids[q], self.ids[found[best]], score[best]
+            active = np.array(later, np.int64)
+            radius *= GROWTH
 
 
 def usable(vector: str) -> Column:
