@@ -11,6 +11,15 @@ def fold(key: Column, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(folds)).cast("int")
 
 
+def hash_rank(*columns: str) -> Column:
+    """A number in [0, 1) that depends on the columns' values alone."""
+    return F.pmod(F.xxhash64(F.lit(1), *columns), F.lit(1 << 40)).cast("double") / float(1 << 40)
+
+
 def hashed_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
-    """At most ``most`` rows, those with the smallest hash of ``key``: a sample that does not depend on the order of the rows."""
-    return rows.orderBy(F.xxhash64(F.lit(1), key), key).limit(most)
+    """At most ``most`` rows, those with the smallest hash of ``key``: a sample that does not depend on the order of the rows.
+
+    All but a little more than that share of the rows is filtered out where it is read, so the final choice is among few.
+    """
+    share = 1.2 * most / max(1, rows.count())
+    return rows.filter(hash_rank(key) <= share).orderBy(hash_rank(key), key).limit(most)

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilequery.llm.folds import hash_rank
 from tilequery.llm.text import blocks, text_buffers
 from tilequery.session import materialize
 
@@ -187,10 +188,12 @@ def fit(texts: DataFrame, max_texts: int = MAX_TEXTS) -> Identifier | None:
 
     Each language lends the ``2 * max_texts`` texts with the smallest hash of doc_id; alternate ones are counted and calibrate.
     """
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id"))
-    known = texts.filter("lang is not null and text is not null").select("doc_id", "lang")
-    # the few smallest hashes of each language are found by partial limits before the shuffle
-    chosen = known.withColumn("_r", rank).filter(F.col("_r") <= 2 * max_texts)
+    known = texts.filter("lang is not null and text is not null").select("doc_id", "lang", hash_rank("doc_id").alias("_u"))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("_n"))
+    # a little more than the share wanted of each language is left to rank, however large the language is
+    few = known.join(sizes, "lang").filter(F.col("_u") * F.col("_n") <= 2.4 * max_texts)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_u", "doc_id"))
+    chosen = few.withColumn("_r", rank).filter(F.col("_r") <= 2 * max_texts)
     sample = materialize(
         texts.join(F.broadcast(chosen.select(F.col("doc_id").alias("_d"), F.col("lang").alias("_l"), "_r")), (F.col("doc_id") == F.col("_d")) & (F.col("lang") == F.col("_l"))).select("text", "lang", "_r")
     )
