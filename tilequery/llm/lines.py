@@ -11,7 +11,7 @@ from tilequery.session import materialize
 #: distinct lines whose ids may be broadcast to pick their texts from the scan; more are joined by shuffle
 INLINE_IDS = 1_000_000
 #: letters counted for the bag bound that a candidate pair must meet
-BAG = "entaio"
+BAG = "entaiohrsldumc"
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -24,52 +24,52 @@ def row_key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
 
 
-def _segment(n: Column, parts: int, i: int) -> tuple[Column, Column]:
+def _segment(n: Column, parts: int, i: Column) -> tuple[Column, Column]:
     """Start (from 1) and length of segment i (from 0) of a line of ``n`` characters; the last ones take the remainder."""
     short = F.floor(n / parts).cast("int")
-    longer = n % parts
-    first_long = F.lit(parts) - longer
-    return short * i + F.greatest(F.lit(i) - first_long, F.lit(0)) + 1, short + (F.lit(i) >= first_long).cast("int")
+    first_long = F.lit(parts) - n % parts
+    return short * i + F.greatest(i - first_long, F.lit(0)) + 1, short + (i >= first_long).cast("int")
 
 
-def _key(n: Column, i: int, part: Column) -> Column:
-    return F.xxhash64(n.cast("int"), F.lit(i), part)
-
-
-def segment_keys(edits: int) -> list[Column]:
-    """The index side: length, number and content of each of ``edits + 1`` segments of ``line``."""
-    n = F.col("n")
-    return [_key(n, i, F.substr("line", *_segment(n, edits + 1, i))) for i in range(edits + 1)]
-
-
-def probe_keys(edits: int) -> list[tuple[int, bool, Column]]:
-    """The probe side: for each shorter or equal length, the substrings of ``line`` that can equal a segment of a line of that length.
+def probes(edits: int) -> list[tuple[int, int, int, bool]]:
+    """Substrings of a line that can equal a segment of a line as long or shorter: (length difference, segment, shift, own segment).
 
     An alignment with at most ``edits`` edits leaves a segment i untouched with at most i edits before and
-    ``edits - i`` after it, which bounds its shift; returns (length difference, own segment, key).
+    ``edits - i`` after it, which bounds its shift.
     """
     out = []
     for diff in range(edits + 1):
-        n = F.col("n") - diff
         for i in range(edits + 1):
-            start, size = _segment(n, edits + 1, i)
             low, high = max(-i, diff - (edits - i)), min(i, diff + (edits - i))
-            for shift in range(low, high + 1):
-                inside = (start + shift >= 1) & (start + shift + size - 1 <= F.col("n"))
-                out.append((diff, diff == 0 and shift == 0, F.when(inside, _key(n, i, F.substr("line", start + shift, size)))))
+            out += [(diff, i, shift, diff == 0 and shift == 0) for shift in range(low, high + 1)]
     return out
 
 
+def segment_keys(keyed: DataFrame, places: list[tuple[int, int, int, bool]], edits: int) -> DataFrame:
+    """``id, bag, own, key`` for each place of each line: length, number and content of the segment looked for."""
+    one = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(s).alias("s"), F.lit(o).alias("own")) for d, i, s, o in places])
+    rows = keyed.select("id", "bag", "line", "n", F.explode(one).alias("p"))
+    n = F.col("n") - F.col("p.d")
+    start, size = _segment(n, edits + 1, F.col("p.i"))
+    rows = rows.withColumns({"m": n, "start": start + F.col("p.s"), "size": size})
+    rows = rows.filter((F.col("start") >= 1) & (F.col("start") + F.col("size") - 1 <= F.col("n")))
+    return rows.select("id", "bag", F.col("p.own").alias("own"), F.xxhash64("m", F.col("p.i"), F.substr("line", F.col("start"), F.col("size"))).alias("key"))
+
+
+_OWN = 1 << (4 * len(BAG))
+
+
 def _bag() -> Column:
-    counts = [F.shiftleft(((F.length("line") - F.length(F.replace("line", F.lit(c)))) % 256).cast("long"), 8 * k) for k, c in enumerate(BAG)]
+    """How often ``line`` has each letter of ``BAG``, modulo 16, in one number."""
+    counts = [F.shiftleft(((F.length("line") - F.length(F.replace("line", F.lit(c)))) % 16).cast("long"), 4 * k) for k, c in enumerate(BAG)]
     return sum(counts[1:], counts[0])
 
 
 def _bag_distance(a: Column, b: Column) -> Column:
     parts = []
     for k in range(len(BAG)):
-        x = F.abs(F.shiftright(a, 8 * k).bitwiseAND(255) - F.shiftright(b, 8 * k).bitwiseAND(255))
-        parts.append(F.least(x, 256 - x))
+        x = F.abs(F.shiftright(a, 4 * k).bitwiseAND(15) - F.shiftright(b, 4 * k).bitwiseAND(15))
+        parts.append(F.least(x, 16 - x))
     return sum(parts[1:], parts[0])
 
 
@@ -156,13 +156,14 @@ def banded_distance(x: Column, y: Column, edits: int) -> Column:
 
 
 def line_links(distinct: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """Candidate pairs (ids ``a < b``) of distinct lines: equal in a segment, in length and in letter counts as far as ``edits`` allow."""
-    keyed = distinct.withColumn("n", F.length("line")).filter(F.col("n") >= min_chars)
-    keyed = keyed.withColumn("bag", _bag())
-    index = keyed.select("id", "bag", F.explode(F.array(*segment_keys(edits))).alias("key"))
-    probes = F.array(*[F.struct(k.alias("key"), F.lit(own).alias("own")) for _, own, k in probe_keys(edits)])
-    probe = keyed.select(F.col("id").alias("id2"), F.col("bag").alias("bag2"), F.explode(probes).alias("p")).select("id2", "bag2", "p.key", "p.own").filter("key is not null")
-    close = (F.col("id") != F.col("id2")) & (~F.col("own") | (F.col("id") < F.col("id2"))) & (_bag_distance(F.col("bag"), F.col("bag2")) <= 2 * edits)
+    """Candidate pairs (ids ``a < b``) of distinct lines (id, line, n, bag): equal in a segment, in length and in letter counts as far as ``edits`` allow."""
+    keyed = distinct.filter(F.col("n") >= min_chars)
+    index = segment_keys(keyed, [(0, i, 0, True) for i in range(edits + 1)], edits).select("id", "bag", "key")
+    # a line's own segments are among its probes; such a pair is taken from one side only, which a bit above the counts tells
+    probe = segment_keys(keyed, probes(edits), edits).select(
+        F.col("id").alias("id2"), F.col("bag").bitwiseOR(F.col("own").cast("long") * _OWN).alias("bag2"), "key"
+    )
+    close = (F.col("id") != F.col("id2")) & ((F.col("bag2") < _OWN) | (F.col("id") < F.col("id2"))) & (_bag_distance(F.col("bag"), F.col("bag2")) <= 2 * edits)
     pairs = index.alias("i").join(probe.alias("r"), (F.col("i.key") == F.col("r.key")) & close)
     return pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
 
@@ -185,7 +186,9 @@ def line_classes(docs: DataFrame, edits: int = 2, min_chars: int = 24) -> DataFr
     """
     lines = lines_of(docs)
     real = lines.filter(F.trim("line") != "")
-    distinct = real.groupBy("line").agg(F.count("*").alias("_n")).select("line", F.xxhash64("line").alias("id"))
+    # length and letter counts are measured once, in front of the shuffle that makes lines distinct
+    measured = real.select("line", F.length("line").alias("n"), _bag().alias("bag"))
+    distinct = measured.groupBy("line", "n", "bag").agg(F.count("*").alias("_n")).select("line", "n", "bag", F.xxhash64("line").alias("id"))
     pairs = materialize(line_links(distinct, edits, min_chars))
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     texts = materialize(_texts(real, materialize(ids)))
@@ -213,9 +216,9 @@ def drop_repeated_lines(docs: DataFrame, edits: int = 2, min_chars: int = 24) ->
     and the text's hash, so rows sharing a doc_id keep their own lines.
     """
     classes = line_classes(docs.select("doc_id", "text"), edits, min_chars)
-    gone = classes.filter("not kept").groupBy("row").agg(F.collect_set("line_no").alias("_gone"))
-    joined = docs.withColumn("_row", row_key()).join(gone, F.col("_row") == F.col("row"), "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_gone", i))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    out = joined.withColumn("_text", text).filter(F.col("_gone").isNull() | (F.trim(F.translate("_text", "\n", " ")) != ""))
-    return out.select(*[F.col("_text").alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    gone = classes.filter("not kept").groupBy("row").agg(F.collect_set("line_no").alias("__gone")).withColumnRenamed("row", "__row")
+    joined = docs.withColumn("__key", row_key()).join(gone, F.col("__key") == F.col("__row"), "left")
+    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__gone", i))
+    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    out = joined.withColumn("__text", text).filter(F.col("__gone").isNull() | (F.trim(F.translate("__text", "\n", " ")) != ""))
+    return out.select(*[F.col("__text").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
