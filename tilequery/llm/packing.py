@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import unicodedata
 import zlib
 from bisect import bisect_left, insort
@@ -20,7 +21,7 @@ OPEN_WINDOWS = 32
 #: left-over windows merged in one task
 MERGE_WINDOWS = 8192
 #: pieces whose ids a task remembers before it starts again
-CACHED_PIECES = 500_000
+CACHED_PIECES = 200_000
 
 _PLAIN = 0x250  # characters from here on, and the few below that libraries class differently, take the tokenizer's own splitting
 _SPACES = {0x20, *range(0x09, 0x0E)}
@@ -192,11 +193,12 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, w
     schema = f"{_FIELDS}, open boolean"
 
     def place(batches):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks are the parallelism
         made = None
         seen = Windows(length, windows, TaskContext.get().partitionId() << 32)
         done: list = []
         for batch in batches:
-            for part in blocks(batch):
+            for part in blocks(batch, size=1 << 19):
                 made = made or TokenIds(tokenizer)
                 for doc, ids in zip(part.column("doc_id").to_pylist(), made.encode(part.column("text"))):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
