@@ -238,3 +238,17 @@ def test_contaminated(spark, docs, rows, empty):
     assert tiling.drop_contaminated(docs, bench).columns == docs.columns
     assert tiling.contaminated(empty, bench).count() == 0
     assert tiling.contaminated(docs, bench.limit(0)).count() == 0
+
+
+def test_contaminated_by_repeated_item(spark):
+    """An item given twice is found as the same item given once, however the benchmark is joined."""
+    item = [f"w{i}" for i in range(60)]
+    chunks = [item[i : i + 5] for i in range(0, 60, 5)]
+    text = " ".join(w for c in chunks[::-1] for w in [*c, "other"])
+    docs = spark.createDataFrame([(1, text), (2, "nothing of it")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item))] * 2 + [(8, " ".join(item))], "item_id long, text string")
+    sent = sorted(map(tuple, tiling.contaminated(docs, bench).collect()))
+    joined = sorted(map(tuple, tiling.contaminated(docs, bench, shipped=0).collect()))
+    assert [r[1:4] for r in sent] == [(1, 7, 60)] * 2 + [(1, 8, 60)]
+    assert sent == joined
+    assert [r.doc_id for r in tiling.drop_contaminated(docs, bench, shipped=0).collect()] == [2]

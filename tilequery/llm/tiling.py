@@ -181,7 +181,7 @@ def _where_read(docs: DataFrame, bench: DataFrame, least: int, coverage: float)
 
 def _by_shuffle(docs: DataFrame, bench: DataFrame, least: int, coverage: float) -> DataFrame:
     items = bench.withColumn("row", F.xxhash64("item_id", "text"))
-    own = _seeds(items, "item_id", least)
+    own = _seeds(items.dropDuplicates(["row"]), "item_id", least)  # equal items share a row: once here, each again in the last join
     size = own.groupBy("row").agg((F.count("*") + least - 1).alias("words"))
     shared = _seeds(docs, "doc_id", least).select("row", "seed").distinct().join(own.select(F.col("row").alias("item"), "seed", "at"), "seed")
     pairs = shared.groupBy("row", "item").agg(F.countDistinct("at").alias("n"))
