@@ -183,6 +183,24 @@ def test_repeats_removed(docs, rows, empty, shards):
     assert repeats.drop_repeats(empty, 20).count() == 0
 
 
+def test_repeats_of_hot_passage(spark, docs):
+    """A passage that many texts share between other words: its edges' anchors are spread, what is found stays."""
+    rng = np.random.default_rng(5)
+    passage = " ".join(f"p{i}" for i in range(60))
+    other = lambda: " ".join(f"x{i}" for i in rng.integers(0, 1 << 40, 30))
+    texts = [(i, f"{other()} {passage} {other()}") for i in range(1500)]
+    many = docs.select("doc_id", "text").filter("doc_id is not null").unionByName(spark.createDataFrame([(i + 10_000, t) for i, t in texts], "doc_id long, text string"))
+    removed = {r.doc_id: r.n_removed for r in repeats.drop_repeats(many, 20, 16).filter("doc_id >= 10000").collect()}
+    assert removed[10_000] == 0 and {removed[i + 10_000] for i in range(1, 1500)} == {60}
+    split = sorted(map(tuple, repeats.drop_repeats(many, 20, 16, hot=3).collect()))
+    assert split == sorted(map(tuple, repeats.drop_repeats(many, 20, 16, hot=1 << 30).collect()))
+    keyed = many.withColumn("row", F.xxhash64("doc_id", "text")).filter("doc_id >= 10000")
+    size = lambda hot: [r.n or 0 for r in repeats._sent(keyed, 20, 16, hot).groupBy("shard").agg((F.sum(F.length("words")) / 5).alias("n")).collect()]
+    whole, parts = size(1 << 30), size(100)
+    assert max(whole) > 0.4 * sum(whole)  # unsplit, an edge is one shard
+    assert len(parts) == 16 and max(parts) < 0.15 * sum(parts)
+
+
 def test_fm_index_counts():
     rng = np.random.default_rng(2)
     text = np.concatenate([np.append(rng.integers(1, 4, n), 0) for n in (30, 7, 50)])

@@ -18,6 +18,8 @@ SHARD_BYTES, TABLE_BYTES = 3 << 20, 32 << 20
 SENT_BYTES = 4 << 20
 #: windows searched one after the other; longer segments are cut with an overlap
 CHAIN = 64
+#: different segments of one anchor from which its windows are dealt one by one, by all their words
+HOT_SEGMENTS = 1000
 
 
 def _windows(h: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,8 +76,19 @@ def _bits_per_shard(shards: int) -> int:
     return min(1 << 24, max(8, TABLE_BYTES * 8 // shards // 8 * 8))  # a shard has far fewer anchors than 2**24
 
 
-def repeated_anchors(docs: DataFrame, window: int, shards: int) -> list[bytes]:
-    """For each shard, a bit table with the bits of anchors that more than one segment has or one segment twice (and of a few others, by collision)."""
+def _kinds(anchor: np.ndarray, digest: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted (anchor, digest): the first row of each anchor, the weight of its different digests, and one digest of them all."""
+    first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+    new = np.r_[True, (anchor[1:] != anchor[:-1]) | (digest[1:] != digest[:-1])]
+    return first, np.add.reduceat(np.where(new, weight, 0), first, dtype=np.uint32), np.bitwise_xor.reduceat(np.where(new, digest, 0).astype(np.uint32), first)
+
+
+def repeated_anchors(docs: DataFrame, window: int, shards: int, hot: int = HOT_SEGMENTS) -> tuple[list[bytes], np.ndarray]:
+    """For each shard, a bit table with the bits of anchors that more than one segment has or one segment twice (and of a few others, by collision).
+
+    Also the sorted anchors of more than ``hot`` different segments: at most one for so many segments of the corpus. Segments are told apart
+    by the sets that blocks of texts hold, so a few anchors of fewer segments may be among them, never one of more missing.
+    """
 
     def send(batches):
         for batch in batches:
@@ -83,30 +96,40 @@ def repeated_anchors(docs: DataFrame, window: int, shards: int) -> list[bytes]:
                 words = Words(part.column("text"))
                 at, anchor, every = _windows(words.hashes(), words.doc, window)
                 start, count, anchor = _segments(at, anchor, np.searchsorted(words.doc, at, "right"))
+                if not len(start):
+                    continue
                 twice = _twice(start, count, anchor, every, window)
-                keys, n = np.unique(np.concatenate([anchor, anchor[twice]]), return_counts=True)
+                digest = (span_hashes(words.hashes(), start, start + count + window - 1) >> np.uint64(32)).astype(np.uint32)
+                order = np.lexsort((digest, anchor))
+                anchor, digest = anchor[order], digest[order]
+                first, kinds, which = _kinds(anchor, digest, np.ones(len(order), np.uint32))
+                keys, more = anchor[first], np.add.reduceat(1 + twice[order].astype(np.int64), first) > 1
                 shard = _shard_of(keys, shards)  # ascending, as the keys are
                 cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])[: len(shard)]
-                ends = np.append(cuts[1:], len(shard))
+                parts = [slice(a, b) for a, b in zip(cuts, np.append(cuts[1:], len(shard)))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard[cuts].astype(np.int32)), pa.array([keys[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()), pa.array([keys[a:b][n[a:b] > 1].tobytes() for a, b in zip(cuts, ends)], pa.binary())],
-                    ["shard", "once", "more"],
+                    [pa.array(shard[cuts].astype(np.int32)), *[pa.array([v[x].tobytes() for x in parts], pa.binary()) for v in (keys, which, kinds)], pa.array([keys[x][more[x]].tobytes() for x in parts], pa.binary())],
+                    ["shard", "once", "which", "kinds", "more"],
                 )
 
     bits = _bits_per_shard(shards)
 
     def gather(table: pa.Table) -> pa.Table:
-        once = np.frombuffer(b"".join(table.column("once").to_pylist()), np.uint64)
-        more = np.frombuffer(b"".join(table.column("more").to_pylist()), np.uint64)
-        keys, n = np.unique(once, return_counts=True)
-        found = np.concatenate([keys[n > 1], more])
+        once, which, kinds, more = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("once", np.uint64), ("which", np.uint32), ("kinds", np.uint32), ("more", np.uint64)))
+        order = np.lexsort((which, once))
+        first, n, _ = _kinds(once[order], which[order], kinds[order])
+        keys = once[order][first]
+        found = np.concatenate([keys[np.diff(np.append(first, len(once))) > 1], more])
         flags = np.zeros(bits, bool)
         flags[_bit_of(found, bits)] = True
-        return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(flags).tobytes()], pa.binary())})
+        return pa.table([pa.array([table.column("shard")[0].as_py()], pa.int32()), pa.array([np.packbits(flags).tobytes()], pa.binary()), pa.array([keys[n > hot].tobytes()], pa.binary())], ["shard", "bits", "hot"])
 
-    sent = docs.select("text").mapInArrow(send, "shard int, once binary, more binary")
-    found = {r["shard"]: bytes(r["bits"]) for r in sent.groupBy("shard").applyInArrow(gather, "shard int, bits binary").toLocalIterator()}
-    return [found.get(s, b"") for s in range(shards)]
+    sent = docs.select("text").mapInArrow(send, "shard int, once binary, which binary, kinds binary, more binary")
+    found, busy = {}, []
+    for r in sent.groupBy("shard").applyInArrow(gather, "shard int, bits binary, hot binary").toLocalIterator():
+        found[r["shard"]] = bytes(r["bits"])
+        busy.append(np.frombuffer(bytes(r["hot"]), np.uint64))
+    return [found.get(s, b"") for s in range(shards)], np.sort(np.concatenate([np.zeros(0, np.uint64), *busy]))
 
 
 class BitVector:
@@ -230,7 +253,23 @@ def _covered(start: np.ndarray, repeated: np.ndarray, window: int) -> list[tuple
     return [(int(start + a), int(e - a)) for a, e in zip(at[cut], ends)]
 
 
-def repeated_spans(docs: DataFrame, window: int = 20, shards: int | None = None) -> DataFrame:
+def _stretches(rec: np.ndarray, pick: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Picked segments of the same text that touch or overlap as one record each, and the number of its first segment."""
+    order = pick[np.lexsort((rec["start"][pick], rec["row"][pick]))]
+    if not len(order):
+        return rec[order], order
+    r = rec[order]
+    end = r["start"].astype(np.int64) + r["windows"] + window - 1
+    other = r["row"][1:] != r["row"][:-1]
+    text = np.concatenate([[0], np.cumsum(other)]) << 40
+    reach = np.maximum.accumulate(end + text) - text
+    first = np.flatnonzero(np.r_[True, other | (r["start"][1:] > reach[:-1])])
+    out = r[first]
+    out["windows"] = reach[np.append(first[1:], len(r)) - 1] - out["start"] - window + 1
+    return out, order[first]
+
+
+def repeated_spans(docs: DataFrame, window: int = 20, shards: int | None = None, hot: int = HOT_SEGMENTS) -> DataFrame:
     """``row, start, length``: stretches of words covered by windows of ``window`` words that also start earlier.
 
     ``docs``: row (a long that tells texts apart), doc_id, text. Earlier means: a smaller doc_id (null first), then a smaller row, then an
@@ -241,14 +280,24 @@ def repeated_spans(docs: DataFrame, window: int = 20, shards: int | None = None)
     table of fixed size; only their segments travel (when the table fills up, more of them). Equal segments are collapsed
     where they are read and again in the shard; each shard builds an FM-index of its distinct segments in order of place and
     streams them through it.
+
+    An anchor of more than ``hot`` different segments (at the edges of a passage that very many texts share, each with other neighbouring words)
+    would fill one shard. Its windows travel one by one to the shard of the hash of all their words: equal ones still meet and collapse, the
+    others spread over all shards.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = shards or max(1, -(-total // SHARD_BYTES))
-    table = docs.sparkSession.sparkContext.broadcast(repeated_anchors(docs, window, shards))
+    return _sent(docs, window, shards, hot).groupBy("shard").applyInArrow(_search(window), "row long, start long, length long")
+
+
+def _sent(docs: DataFrame, window: int, shards: int, hot: int) -> DataFrame:
+    """``shard, words, records``: segments with their words, and without words stretches that are settled where they are read."""
+    table = docs.sparkSession.sparkContext.broadcast(repeated_anchors(docs, window, shards, hot))
     bits = _bits_per_shard(shards)
 
     def send(batches):
-        tables = [np.frombuffer(t, np.uint8) for t in table.value]
+        tables, busy = table.value
+        tables = [np.frombuffer(t, np.uint8) for t in tables]
         sizes = np.array([len(t) for t in tables])
         flat = np.concatenate(tables) if tables else np.zeros(0, np.uint8)
         base = np.concatenate([[0], np.cumsum(sizes)])
@@ -258,12 +307,18 @@ def repeated_spans(docs: DataFrame, window: int = 20, shards: int | None = None)
                 words = Words(part.column("text"))
                 h = words.hashes()
                 at, anchor, _ = _windows(h, words.doc, window)
-                start, count, anchor = _segments(at, anchor, np.searchsorted(words.doc, at, "right"))
-                shard = _shard_of(anchor, shards)
+                key = anchor
+                if len(busy):
+                    alone = np.flatnonzero(busy[np.minimum(np.searchsorted(busy, anchor), len(busy) - 1)] == anchor)
+                    key = anchor.copy()
+                    key[alone] = mix(span_hashes(h, at[alone], at[alone] + window))
+                start, count, key = _segments(at, key, np.searchsorted(words.doc, at, "right"))
+                anchor = anchor[np.searchsorted(at, start)]
+                home = _shard_of(anchor, shards)  # which has the anchor's bit
                 bit = _bit_of(anchor, bits)
-                byte = base[shard] + (bit >> 3)
-                on = (sizes[shard] > 0) & ((flat[np.minimum(byte, max(0, len(flat) - 1))] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1) if len(flat) else np.zeros(len(bit), bool)
-                start, count, shard = start[on], count[on], shard[on]
+                byte = base[home] + (bit >> 3)
+                on = (sizes[home] > 0) & ((flat[np.minimum(byte, max(0, len(flat) - 1))] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1) if len(flat) else np.zeros(len(bit), bool)
+                start, count, shard = start[on], count[on], _shard_of(key[on], shards)
                 end = start + count + window - 1
                 rec = np.zeros(len(start), _RECORD)
                 owner = np.searchsorted(words.doc, start, "right") - 1
@@ -288,9 +343,9 @@ def repeated_spans(docs: DataFrame, window: int = 20, shards: int | None = None)
                         seen[key] = place
                 head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order)))) if len(order) else order
                 later = (r["doc"] != r["doc"][head]) | (r["row"] != r["row"][head]) | (r["start"] != r["start"][head]) | (head == np.arange(len(order)))
-                settled = order[same & later]  # an equal row is not earlier
+                done, settled = _stretches(rec, order[same & later], window)  # an equal row is not earlier
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((settled % shards).astype(np.int32)), pa.nulls(len(settled), pa.binary()), pa.array([rec[i].tobytes() for i in settled.tolist()], pa.binary())], ["shard", "words", "records"]
+                    [pa.array((settled % shards).astype(np.int32)), pa.nulls(len(settled), pa.binary()), pa.array([x.tobytes() for x in done], pa.binary())], ["shard", "words", "records"]
                 )
                 go = order[~same]
                 go = go[np.argsort(shard[go], kind="stable")]
@@ -306,6 +361,12 @@ def repeated_spans(docs: DataFrame, window: int = 20, shards: int | None = None)
                     out[2].append(rec[mine].tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], ["shard", "words", "records"])
 
+    return docs.select("row", F.col("doc_id").cast("long"), "text").mapInArrow(send, "shard int, words binary, records binary")
+
+
+def _search(window: int):
+    """Kernel of a shard: its segments collapsed, indexed and searched; ``row, start, length`` of what is repeated."""
+
     def search(group: pa.Table) -> pa.Table:
         rows, starts, lengths = [], [], []
 
@@ -360,8 +421,7 @@ def repeated_spans(docs: DataFrame, window: int = 20, shards: int | None = None)
                 settle(rec[mine[i]], _covered(rec[mine[i]]["start"], repeated[at[i] : at[i + 1]], window))
         return pa.table([pa.array(rows, pa.int64()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64())], ["row", "start", "length"])
 
-    sent = docs.select("row", F.col("doc_id").cast("long"), "text").mapInArrow(send, "shard int, words binary, records binary")
-    return sent.groupBy("shard").applyInArrow(search, "row long, start long, length long")
+    return search
 
 
 def _dense(keys: np.ndarray) -> np.ndarray:
@@ -373,7 +433,7 @@ def _dense(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def drop_repeats(docs: DataFrame, window: int = 20, shards: int | None = None) -> DataFrame:
+def drop_repeats(docs: DataFrame, window: int = 20, shards: int | None = None, hot: int = HOT_SEGMENTS) -> DataFrame:
     """``doc_id, text, n_words, n_removed``: each text's words that no repeated window covers, joined by one space.
 
     Words are runs of other signs than space and 0x09-0x0D, taken as they are. A window is ``window`` consecutive words of one text;
@@ -382,7 +442,7 @@ def drop_repeats(docs: DataFrame, window: int = 20, shards: int | None = None) -
     each gets its result; rows that share a doc_id only come in the order of a hash. An empty table gives no rows.
     """
     keyed = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    spans = materialize(repeated_spans(keyed, window, shards).distinct())
+    spans = materialize(repeated_spans(keyed, window, shards, hot).distinct())
     lists = spans.groupBy("row").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
     joined = keyed.join(lists, "row", "left").select("doc_id", "text", F.col("spans.start").alias("starts"), F.col("spans.length").alias("lengths"))
 
