@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pickle
+
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -23,3 +26,16 @@ def hashed_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
     """
     share = 1.2 * most / max(1, rows.count())
     return rows.filter(hash_rank(key) <= share).orderBy(hash_rank(key), key).limit(most)
+
+
+def send(spark: SparkSession, value):
+    """Hand ``value`` to the tasks; returns what opens it there.
+
+    The value travels as bytes that hold its classes too, so that executors need not have this package.
+    """
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def opened():
+        return pickle.loads(sent.value)
+
+    return opened

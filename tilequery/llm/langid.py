@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilequery.llm.folds import hash_rank
+from tilequery.llm.folds import hash_rank, send
 from tilequery.llm.text import blocks, text_buffers
 from tilequery.session import materialize
 
@@ -161,10 +161,10 @@ class Identifier:
         and texts without a letter are ``und`` with score 0, and with ``reject`` so are texts whose cross-entropy lies beyond what
         the language's own calibration texts reach.
         """
-        sent = docs.sparkSession.sparkContext.broadcast(self)
+        sent = send(docs.sparkSession, self)
 
         def run(batches):
-            me = sent.value
+            me = sent()
             scorer = Scorer(me.model)
             names = np.array([*me.model.languages, UNKNOWN], object)
             for batch in batches:
@@ -217,10 +217,10 @@ def fit(texts: DataFrame, max_texts: int = MAX_TEXTS) -> Identifier | None:
     counts = odd.select("text", "lang").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).orderBy("k").toPandas()
     k = counts["k"].to_numpy(np.int64)
     model = KneserNey(languages, table, k >> 32, (k & 0xFFFFFFFF).astype(np.uint32), counts["n"].to_numpy(float))
-    held = sample.sparkSession.sparkContext.broadcast(model)
+    held = send(sample.sparkSession, model)
 
     def measure(batches):
-        scorer = Scorer(held.value)
+        scorer = Scorer(held())
         for batch in batches:
             for part in blocks(batch):
                 h, letters, _ = scorer.entropies(part.column("text"))
