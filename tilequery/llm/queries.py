@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilequery.llm import langid, lines, nearest, packing, pitmanyor, repeats, sharding, sketch, tiling, toxicity
+from tilequery.llm import align, langid, lines, nearest, packing, pitmanyor, repeats, sharding, sketch, tiling, toxicity
 from tilequery.llm.folds import fold
 from tilequery.llm.registry import QUERIES, SQL, query, table
 
@@ -115,5 +115,13 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+@query("op13_token_alignment")
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of the byte-level and the piece tokenizer meet in every document."""
+    from public_tokenizers import path
+
+    return align.token_links(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))
+
+
 def all_queries():
     return QUERIES, SQL
