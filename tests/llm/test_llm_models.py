@@ -38,9 +38,9 @@ def test_shards(spark, docs, empty):
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.one_of(st.text("ab' 12\n.,!éÉstmdrvelL\t\xa0日<|>", max_size=30), st.sampled_from(["a<|endoftext|>b", "it's they'll 'tis I'd", "  x  \n\n y "])), max_size=6))
 def test_token_ids(texts):
-    ids = packing.TokenIds(TOKENIZER, cached=20)
+    ids = packing.TokenIds(TOKENIZER)
     got = ids.encode(pa.array(texts, pa.string()))
-    assert [g.tolist() for g in got] == [e.ids for e in ids.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [g.tolist() for g in got] == [e.ids for e in ids.bpe.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
 def check_pieces(pieces, docs, length):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import unicodedata
 import zlib
 from bisect import bisect_left, insort
 
@@ -13,131 +11,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilequery.llm.text import blocks, span_hashes, text_buffers
+from tilequery.llm.text import blocks
+from tilequery.llm.tokens import ByteBpe
 from tilequery.session import materialize
 
 #: windows kept open per task
 OPEN_WINDOWS = 32
 #: left-over windows merged in one task
 MERGE_WINDOWS = 8192
-#: pieces whose ids a task remembers before it starts again
-CACHED_PIECES = 200_000
-
-_PLAIN = 0x250  # characters from here on, and the few below that libraries class differently, take the tokenizer's own splitting
-_SPACES = {0x20, *range(0x09, 0x0E)}
-
-
-def _classes() -> np.ndarray:
-    """1 letter, 2 number, 3 white space, 0 other, 9 left to the tokenizer."""
-    out = np.zeros(_PLAIN + 1, np.uint8)
-    for c in range(_PLAIN):
-        kind = unicodedata.category(chr(c))
-        out[c] = 3 if c in _SPACES else 9 if chr(c).isspace() or kind == "Cn" else {"L": 1, "N": 2}.get(kind[0], 0)
-    out[_PLAIN] = 9
-    return out
-
 
 class TokenIds:
-    """Ids of whole texts; each distinct word piece of a task is encoded once.
-
-    Pieces are found on arrays of code points by the byte-level tokenizer's splitting rule (contractions, then runs of letters,
-    numbers or other signs with one space before them, white space by itself); a text with a character outside
-    the plain range or with a special token's string goes to the tokenizer as it is. Both ways give the same ids.
-    """
+    """Ids of the texts of an Arrow array (null: none)."""
 
-    def __init__(self, path: str, cached: int = CACHED_PIECES):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.classes = _classes()
-        self.cached = cached
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.flat, self.at = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
-
-    def _learn(self, keys: list[int], pieces: list[str]) -> None:
-        for first in range(0, len(keys), 4096):
-            found = self.tokenizer.encode_batch_fast(pieces[first : first + 4096], add_special_tokens=False)
-            ids = [e.ids for e in found]
-            n = len(self.known)
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            new = np.fromiter((x for y in ids for x in y), np.uint32, int(sizes.sum()))
-            begin = int(self.at[n])
-            while len(self.flat) < begin + len(new):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while len(self.at) < n + len(ids) + 1:
-                self.at = np.concatenate([self.at, np.zeros_like(self.at)])
-            self.flat[begin : begin + len(new)] = new
-            self.at[n + 1 : n + len(ids) + 1] = begin + np.cumsum(sizes)
-            self.known.update(zip(keys[first : first + 4096], range(n, n + len(ids))))
+    def __init__(self, path: str):
+        self.bpe = ByteBpe(path)
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        """Ids of each text of a block (null: none)."""
-        raw, at = text_buffers(texts)
-        whole = raw.tobytes().decode("utf-8")
-        points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
-        lead = np.zeros(len(raw) + 1, np.int64)
-        np.cumsum((raw & 0xC0) != 0x80, out=lead[1:])
-        at = lead[at]
-        kinds = self.classes[np.minimum(points, _PLAIN)]
-        odd = np.zeros(len(at) - 1, bool)
-        strange = np.flatnonzero(kinds == 9)
-        odd[np.searchsorted(at, strange, "right") - 1] = True
-        for token in self.special:
-            p = whole.find(token)
-            while p >= 0:
-                odd[np.searchsorted(at, p, "right") - 1] = True
-                p = whole.find(token, p + 1)
-        starts = np.flatnonzero(self._starts(points, kinds, at))
-        ends = np.append(starts[1:], len(points))
-        bounds = np.searchsorted(starts, at)
-        hashes = span_hashes(points, starts, ends)
-        unique, one, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) + len(unique) > self.cached:
-            self._forget()
-        keys = unique.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
-        if new:
-            places = one[new]
-            self._learn([keys[i] for i in new], [whole[a:b] for a, b in zip(starts[places].tolist(), ends[places].tolist())])
-        slot = np.fromiter((self.known[k] for k in keys), np.int64, len(keys))[back] if keys else np.zeros(0, np.int64)
-        sizes = self.at[slot + 1] - self.at[slot]
-        total = np.zeros(len(slot) + 1, np.int64)
-        np.cumsum(sizes, out=total[1:])
-        ids = self.flat[np.repeat(self.at[slot] - total[:-1], sizes) + np.arange(total[-1])]
-        out = [ids[total[a] : total[b]] for a, b in zip(bounds[:-1], bounds[1:])]
-        for i in np.flatnonzero(odd):
-            out[i] = np.array(self.tokenizer.encode(whole[at[i] : at[i + 1]], add_special_tokens=False).ids, np.uint32)
-        return out
-
-    @staticmethod
-    def _starts(points: np.ndarray, kinds: np.ndarray, at: np.ndarray) -> np.ndarray:
-        n = len(points)
-        head = np.zeros(n + 1, bool)
-        head[at] = True
-        head = head[:n]
-        start = head.copy()
-        start[1:] |= kinds[1:] != kinds[:-1]
-        run = np.flatnonzero(start & (kinds != 3) & ~head)
-        run = run[kinds[run - 1] == 3]  # after white space: its last sign joins if it is a space, else stands alone
-        start[run - 1] = True
-        start[run[points[run - 1] == 32]] = False
-        quote = np.flatnonzero(start[:-1] & (points[:-1] == 39) & (kinds[1:] == 1) & ~head[1:]) if n else np.zeros(0, np.int64)
-        if len(quote):
-            a = points[quote + 1]
-            b = np.where(quote + 2 < n, points[np.minimum(quote + 2, n - 1)], 0)
-            b[(quote + 2 < n) & head[np.minimum(quote + 2, n - 1)]] = 0
-            one = np.isin(a, [ord(c) for c in "stmd"])
-            two = ((a == ord("r")) & (b == ord("e"))) | ((a == ord("v")) & (b == ord("e"))) | ((a == ord("l")) & (b == ord("l")))
-            for hit, size in ((quote[one], 2), (quote[two & ~one], 3)):
-                start[hit + 1] = False
-                after = hit + size
-                after = after[after < n]
-                start[after[kinds[after] == 1]] = True
-        return start
+        return [np.array(x, np.uint32) for x in self.bpe.encode([t or "" for t in texts.to_pylist()])]
 
 
 class Windows:
@@ -193,7 +83,6 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, w
     schema = f"{_FIELDS}, open boolean"
 
     def place(batches):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks are the parallelism
         made = None
         seen = Windows(length, windows, TaskContext.get().partitionId() << 32)
         done: list = []
