@@ -73,7 +73,12 @@ def _scratch(spark: SparkSession) -> str:
 
 def drop_intermediates(spark: SparkSession) -> None:
     """Delete this application's intermediate tables, once no result that reads them is needed any more."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch(spark))
+    discard(spark, _scratch(spark))
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete one intermediate table that nothing reads any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
