@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilequery.llm import align, langid, lines, nearest, packing, pitmanyor, repeats, sharding, sketch, tiling, toxicity, whitening
+from tilequery.llm import align, langid, lines, nearest, packing, pitmanyor, private, repeats, sharding, sketch, tiling, toxicity, whitening
 from tilequery.llm.folds import fold
 from tilequery.llm.registry import QUERIES, SQL, query, table
 
@@ -115,6 +115,12 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+@query("op11_personal_data")
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: base spans, and those that labelers, reliabilities and classifier add."""
+    return private.personal_data(table(spark, sf_dir, "documents"))
+
+
 @query("op12_whitening")
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings on their 16 leading components, whitened."""
