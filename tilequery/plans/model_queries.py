@@ -173,7 +173,7 @@ query("ltsa_projection")(_projection("ltsa", n_neighbors=8))
 query("hessian_lle_projection")(_projection("hessian_lle", n_neighbors=8))
 query("modified_lle_projection")(_projection("modified_lle", n_neighbors=8))
 query("mds_projection")(_projection("mds"))
-query("tsne_projection")(_projection("tsne", n_iter=3))
+query("tsne_projection")(_projection("tsne"))
 
 
 @query(
