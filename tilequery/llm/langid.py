@@ -118,7 +118,7 @@ class KneserNey:
 class Scorer:
     """Cross-entropies of blocks; logs of grams seen lately are kept in a table addressed by their hash."""
 
-    def __init__(self, model: KneserNey, slots: int = 1 << 19):
+    def __init__(self, model: KneserNey, slots: int = 1 << 21):
         self.model, self.mask = model, np.uint32(slots - 1)
         self.keys = np.zeros(slots, np.uint32)
         self.filled = np.zeros(slots, bool)
@@ -127,13 +127,13 @@ class Scorer:
     def entropies(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Mean negative log-probability per sign [texts, languages], letters and signs per text."""
         g = Grams(texts, self.model.table)
-        slot = ((g.code * np.uint32(0x9E3779B1)) >> np.uint32(7)) & self.mask
+        slot = ((g.code * np.uint32(0x9E3779B1)) >> np.uint32(9)) & self.mask
         missing = ~self.filled[slot] | (self.keys[slot] != g.code)
         sums = np.zeros((len(texts), len(self.model.languages)))
         if missing.any():
             new, back = np.unique(g.code[missing], return_inverse=True)
             logs = self.model.logs(new)
-            at = ((new * np.uint32(0x9E3779B1)) >> np.uint32(7)) & self.mask
+            at = ((new * np.uint32(0x9E3779B1)) >> np.uint32(9)) & self.mask
             self.keys[at], self.filled[at], self.values[at] = new, True, logs
             self.keys[at] = new  # of two codes in one slot the last stays, with its own logs
             good = self.keys[slot] == g.code
@@ -143,8 +143,9 @@ class Scorer:
                 values[late] = logs[np.searchsorted(new, g.code[late])] if np.isin(g.code[late], new).all() else self.model.logs(g.code[late])
         else:
             values = self.values[slot]
-        for k in range(sums.shape[1]):
-            sums[:, k] = np.bincount(g.owner, values[:, k], minlength=len(texts))
+        some = np.flatnonzero(g.signs)  # signs stand in order of their texts
+        if len(some):
+            sums[some] = np.add.reduceat(values, (np.cumsum(g.signs) - g.signs)[some], axis=0, dtype=np.float64)
         return -sums / np.maximum(g.signs, 1)[:, None], g.letters, g.signs
 
 
