@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tilequery.operators import density, knn, linkage, training, transforms
+from tilequery.operators.select import numbered
 from tilequery.plans import inputs
 from tilequery.plans.image_queries import CROP_MEANS, channel_means
 from tilequery.plans.inputs import EMB
@@ -111,7 +112,45 @@ def kmeans_labels(spark, sf):
     return out.select("tile_id", "label")
 
 
-@query("ward_clusters")
+def _merging(total: str, cost: str = "d") -> str:
+    """Recursive SQL that merges the two nearest clusters again and again; keyed by cluster, a row of distances each.
+
+    ``total`` is the distance of the merged cluster to cluster j, given ``v`` and ``two.d[j]``; merge k stays in row ``-1 - k``.
+    """
+    return f"""recursive e as materialized (select row_number() over (order by vec_id) i, vec_id, embedding::double[] v from embeddings),
+        t(i, d, n, l, k) using key (i) as (
+          select x.i, list(case when x.i <> y.i then list_distance(x.v, y.v) end order by y.i), 1::bigint, [any_value(x.vec_id)], any_value(x.vec_id) - 1000000000000
+          from e x, e y group by x.i
+          union
+          (with now as materialized (select * from recurring.t where i > 0),
+                z as materialized (select list(n order by i) ns from now),
+                c as materialized (select now.i, n, d, {cost} h from now, z where n > 0),
+                b as materialized (select i x, list_position(h, list_min(h)) y, list_min(h) h from c where list_min(h) is not null order by h, x limit 1),
+                p as materialized (
+                  select b.x, b.y, b.h, one.n + two.n n, list_transform(one.d, lambda v, j: case when j not in (b.x, b.y) then {total} end) d,
+                         case when one.k < two.k then one.l || two.l else two.l || one.l end l, (select count(*) from recurring.t where i < 0) k
+                  from b join now one on one.i = b.x join now two on two.i = b.y cross join z)
+           select x, d, n, l, k from p
+           union all select y, null, 0, null, null from p
+           union all select now.i, list_transform(now.d, lambda v, j: case when j = x then p.d[now.i] when j <> y then v end), now.n, now.l, now.k
+                     from now, p where now.n > 0 and now.i not in (x, y)
+           union all select -1 - k, [h], n, l, k from p))"""
+
+
+_COMPLETE = _merging("greatest(v, two.d[j])")
+_AVERAGE = _merging("v + two.d[j]", "list_transform(d, lambda v, j: v / (n * ns[j]))")
+_SINGLE = _merging("least(v, two.d[j])")
+_WARD = _merging("sqrt(((one.n + ns[j]) * v * v + (two.n + ns[j]) * two.d[j] * two.d[j] - ns[j] * b.h * b.h) / (one.n + two.n + ns[j]))")
+_HEIGHTS = "select k::bigint step, round(d[1], 6) height, n size from t where i < 0"
+_PLACES = "select unnest(l) tile_id, unnest(range(len(l)))::bigint place from t where i < 0 and n = (select count(*) from embeddings)"
+#: clusters of the cut to 14, numbered by leaf order
+_CUT = f"""place as ({_PLACES}), u as (select k, unnest(l) tile_id from t where i < 0 and k < (select count(*) from embeddings) - 14),
+        o as (select tile_id, place, max(k) k from place left join u using (tile_id) group by all),
+        f as (select tile_id, case when k is null then place else min(place) over (partition by k) end f from o),
+        q as (select tile_id, (dense_rank() over (order by f) - 1)::int cluster_id from f)"""
+
+
+@query("ward_clusters", f"with {_WARD}, {_CUT} select tile_id, cluster_id, chr(65 + cluster_id) cluster_label from q")
 def ward_clusters(spark, sf):
     return linkage.agglomerate(inputs.embeddings(spark, sf), 14, "ward", letters=True)
 
@@ -131,11 +170,34 @@ def single_linkage_heights(spark, sf):
     return low.agg(F.count("*").alias("n"), _r(F.sum("low"), "total"))
 
 
-@query("single_linkage_clusters")
+@query("single_linkage_clusters", f"with {_SINGLE}, {_CUT} select tile_id, cluster_id, cluster_id::varchar cluster_label from q")
 def single_linkage_clusters(spark, sf):
     return linkage.agglomerate(inputs.embeddings(spark, sf), 14, "single")
 
 
+def _heights(spark, sf, method):
+    merges = linkage.linkage(inputs.embeddings(spark, sf), method)
+    return numbered(merges, "height", "node", name="step").select("step", _r("height"), "size")
+
+
+@query("complete_linkage_heights", f"with {_COMPLETE} {_HEIGHTS}")
+def complete_linkage_heights(spark, sf):
+    """Every merge of complete linkage by height, with the size of what it makes."""
+    return _heights(spark, sf, "complete")
+
+
+@query("average_linkage_heights", f"with {_AVERAGE} {_HEIGHTS}")
+def average_linkage_heights(spark, sf):
+    return _heights(spark, sf, "average")
+
+
+@query("leaf_order", f"with {_AVERAGE} {_PLACES}")
+def leaf_order(spark, sf):
+    """All tiles from left to right below the tree of average linkage."""
+    e = inputs.embeddings(spark, sf)
+    return linkage.leaf_order(e, linkage.linkage(e, "average"))
+
+
 @query("hdbscan_labels")
 def hdbscan_labels(spark, sf):
     out, _ = transforms.apply_transform(inputs.embeddings(spark, sf), "hdbscan", min_cluster_size=5, min_samples=3)
