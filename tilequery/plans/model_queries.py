@@ -198,7 +198,52 @@ def leaf_order(spark, sf):
     return linkage.leaf_order(e, linkage.linkage(e, "average"))
 
 
-@query("hdbscan_labels")
+#: mutual reachability, spanning tree (Prim), its edges merged one by one with the clusters they make, choice by excess of mass
+_HDBSCAN = """recursive e as (select vec_id i, embedding::double[] v from embeddings),
+        d as materialized (select a.i a, b.i b, list_distance(a.v, b.v) d from e a join e b on a.i <> b.i),
+        core as materialized (select a, d core from (select a, d, row_number() over (partition by a order by d) r from d) where r = {samples}),
+        w as materialized (select d.a, d.b, greatest(d, x.core, y.core) w from d join core x on x.a = d.a join core y on y.a = d.b),
+        prim(v, done, w, near) using key (v) as (
+          select b, false, w, a from w where a = (select min(i) from e)
+          union select min(i), true, 0.0, null from e
+          union
+          (with m as materialized (select v x, w c, near from recurring.prim where not done order by w, least(v, near), greatest(v, near) limit 1)
+           select x, true, c, near from m
+           union all select p.v, false, n.w, m.x from recurring.prim p, m, w n
+                     where not p.done and p.v <> m.x and n.a = m.x and n.b = p.v
+                       and (n.w, least(n.a, n.b), greatest(n.a, n.b)) < (p.w, least(p.v, p.near), greatest(p.v, p.near)))),
+        edges as materialized (select row_number() over (order by w, u, v) - 1 r, u, v, 1 / w lam
+                               from (select least(v, near) u, greatest(v, near) v, w from prim where near is not null)),
+        cond(v, comp, size, cc, cl, lam, top) using key (v) as (
+          select i, i, 1::bigint, null::bigint, null::bigint, null::double, null::bigint from e
+          union select -1, null, 0, null, null, null, null
+          union
+          (with m as materialized (
+             select r, g.lam, a.comp ca, b.comp cb, a.cc xa, b.cc xb, a.size + b.size n, a.cc is not null and b.cc is not null twin,
+                    case when a.cc is not null and b.cc is not null then r when a.size + b.size >= {least} then coalesce(a.cc, b.cc, r) end cc
+             from recurring.cond s join edges g on s.v = -1 and g.r = s.size join recurring.cond a on a.v = g.u join recurring.cond b on b.v = g.v)
+           select p.v, least(ca, cb), n, m.cc, coalesce(p.cl, m.cc), case when p.cl is null and m.cc is not null then m.lam else p.lam end, null
+           from recurring.cond p, m where p.v >= 0 and p.comp in (ca, cb)
+           union all select -1, null, r + 1, null, null, null, null from m
+           union all select -2 - r, null, n, null, twin::bigint, lam, r from m where cc = r
+           union all select p.v, r, p.size, null, p.cl, p.lam, p.top from recurring.cond p, m where twin and p.v in (-2 - xa, -2 - xb)
+           union all select p.v, p.comp, p.size, null, p.cl, p.lam, r from recurring.cond p, m where not twin and m.cc <> m.r and p.v = -2 - m.cc)),
+        c as materialized (select -2 - v c, comp parent, size, cl twin, lam death, top from cond where v <= -2),
+        g as materialized (select c.c, c.parent, c.death, c.top, coalesce(q.death, 0) birth, c.twin * c.size * (c.death - coalesce(q.death, 0)) gain from c left join c q on q.c = c.parent),
+        k as materialized (select g.*, gain + (select coalesce(sum(lam - g.birth), 0) from cond where v >= 0 and cl = g.c) stab from g),
+        eom(c, within, best, done) using key (c) as (
+          select c, 0.0::double, null::double, false from k
+          union
+          (with m as materialized (select k.c, k.parent, z.within, greatest(k.stab, z.within) best from recurring.eom z join k using (c) where not z.done order by k.c limit 1)
+           select c, within, best, true from m
+           union all select z.c, z.within + m.best, null, false from recurring.eom z join m on z.c = m.parent)),
+        own as (select c, null::bigint owner from k where parent is null
+                union all select k.c, coalesce(own.owner, case when k.stab >= eom.within then k.c end) from own join k on k.parent = own.c join eom on eom.c = k.c),
+        lab as (select own.c, k.death, (dense_rank() over (order by k.top) - 1)::int label from own join k on k.c = own.owner)
+        select v tile_id, coalesce(label, -1) label, round(coalesce(least(lam, death) / death, 0), 6)::double probability from cond left join lab on lab.c = cond.cl where v >= 0"""
+
+
+@query("hdbscan_labels", "with " + _HDBSCAN.format(samples=3, least=5))
 def hdbscan_labels(spark, sf):
     out, _ = transforms.apply_transform(inputs.embeddings(spark, sf), "hdbscan", min_cluster_size=5, min_samples=3)
     return out.select("tile_id", "label", _r("probability"))
