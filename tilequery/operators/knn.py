@@ -14,6 +14,8 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -241,16 +243,94 @@ def best_partners(left: DataFrame, right: DataFrame, k: int, cost: str = "l2", n
     return blocked_best(cells.drop("pd"), sent, ["cell"], k, cost, left_rows)
 
 
+#: rows of one bucket that the default number of bits aims at
+BUCKET_ROWS = 512
+
+
+def _signs(vec: np.ndarray, planes: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Signed distances of rows to the planes of every table: rows x tables x bits."""
+    return np.einsum("nd,tbd->ntb", vec - mean, planes)
+
+
+def _codes(margin: np.ndarray) -> np.ndarray:
+    return ((margin > 0) * (1 << np.arange(margin.shape[-1]))).sum(-1)
+
+
+def _probe_masks(margin: np.ndarray, probes: int) -> np.ndarray:
+    """Bits to turn for the ``probes`` buckets nearest to each row: sets of bits by the squared distances to their planes, rows x tables x probes."""
+    n, t, bits = margin.shape
+    near = np.argsort(np.abs(margin), axis=-1)[:, :, : min(bits, 6)]  # the nearest buckets differ in the nearest planes
+    cost = np.take_along_axis(margin**2, near, -1)
+    sets = np.arange(1 << near.shape[-1])
+    member = (sets[:, None] >> np.arange(near.shape[-1])) & 1
+    order = np.argsort(np.einsum("ntb,sb->nts", cost, member), axis=-1, kind="stable")[:, :, :probes]
+    value = np.einsum("ntb,sb->nts", 1 << near, member)
+    return np.take_along_axis(value, order, -1)
+
+
+def hashed_partners(left: DataFrame, right: DataFrame, k: int, n_left: int | None = None, tables: int = 8, bits: int | None = None,
+                    probes: int = 8, seed: int = 0) -> DataFrame:
+    """``id, best`` as :func:`best_partners` gives them for ``l2``, among the rows that share a bucket: approximate.
+
+    Each of ``tables`` tables cuts space by ``bits`` random planes through the mean; a right row lies in one bucket of a table, a left row
+    looks into the ``probes`` nearest ones. Distances within a bucket are exact, crowded buckets are cut into blocks. Left rows that meet fewer
+    than ``k`` right rows are compared with all of them.
+    """
+    n = right.count()
+    if not n:
+        return best_partners(left, right, k, n_left=n_left)
+    bits = max(1, math.ceil(math.log2(max(2, n / BUCKET_ROWS)))) if bits is None else int(bits)
+    mean = np.array(right.select(vector_to_array(Summarizer.mean(array_to_vector(F.transform("vec", lambda v: v.cast("double")))))).first()[0])
+    planes = np.random.default_rng(seed).normal(size=(tables, bits, len(mean)))
+    probes = min(int(probes), 1 << min(bits, 6))
+    schema = f"{_node_schema(left)}, bucket long"
+
+    def deal(looks: int):
+        def run(batches):
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                margin = _signs(vectors_of(batch.column("vec")), planes, mean)
+                code = _codes(margin)[:, :, None] ^ (_probe_masks(margin, looks) if looks > 1 else 0)
+                bucket = ((np.arange(tables)[None, :, None] << bits) | code).reshape(len(code), -1)
+                table = pa.Table.from_batches([batch])
+                for c in range(0, bucket.shape[1]):
+                    yield from table.append_column("bucket", pa.array(bucket[:, c].astype(np.int64))).combine_chunks().to_batches()
+
+        return run
+
+    found = blocked_best(left.mapInArrow(deal(probes), schema), right.mapInArrow(deal(1), schema), ["bucket"], k * tables)
+    found = materialize(found.select("id", F.slice(F.array_distinct("best"), 1, k).alias("best")))
+    wanted = min(k, n)
+    lonely = left.join(found.filter(F.size("best") >= wanted).select("id"), "id", "left_anti")
+    if lonely.isEmpty():
+        return found
+    return found.filter(F.size("best") >= wanted).unionByName(best_partners(materialize(lonely), right, k))
+
+
 def _plain_nodes(df: DataFrame) -> DataFrame:
     return df.select("id", "vec", F.lit(1.0).alias("w"), F.col("id").alias("comp"))
 
 
-def knn_lists(left: DataFrame, right: DataFrame, k: int, key: str = "tile_id", vector: str = "embedding", exclude_self: bool | None = None) -> DataFrame:
-    """``key, neighbors array<struct<dist, id>>``: the exact ``k`` nearest right rows of each left row.
+#: ways to find neighbours: all of them, or those that share a bucket of hashed vectors
+NEIGHBOURS = ("exact", "lsh")
+
+
+def knn_lists(left: DataFrame, right: DataFrame, k: int, key: str = "tile_id", vector: str = "embedding", exclude_self: bool | None = None,
+              method: str = "exact", **options) -> DataFrame:
+    """``key, neighbors array<struct<dist, id>>``: the ``k`` nearest right rows of each left row.
+
+    ``method`` ``exact`` finds all of them; ``lsh`` looks into buckets of hashed vectors (options of :func:`hashed_partners`), which misses
+    some but compares each row with a few buckets only.
 
     Ties go to the smaller id. ``exclude_self`` (default when both sides are one
     table) leaves out the row itself, not its copies.
     """
+    if method not in NEIGHBOURS:
+        raise ValueError(f"neighbours by {method!r}; one of {NEIGHBOURS}")
+    if options and method == "exact":
+        raise TypeError(f"exact neighbours have no option {', '.join(sorted(options))}")
+    partners = best_partners if method == "exact" else hashed_partners
     same = left is right
     drop_self = same if exclude_self is None else exclude_self
     kk = k + 1 if drop_self else k
@@ -265,7 +345,7 @@ def knn_lists(left: DataFrame, right: DataFrame, k: int, key: str = "tile_id", v
     )
     mine = heads.select("id", "vec") if same else materialize(rows.groupBy("vec").agg(F.min("id").alias("id")))
     n_mine = mine.count()
-    best = best_partners(_plain_nodes(mine), _plain_nodes(heads), kk, n_left=n_mine)
+    best = partners(_plain_nodes(mine), _plain_nodes(heads), kk, n_left=n_mine, **options)
     entry = F.struct(F.col("b.cost").alias("dist"), F.col("nid").alias("id"))
     lists = (
         best.select("id", F.explode("best").alias("b"))
@@ -287,9 +367,10 @@ def knn_lists(left: DataFrame, right: DataFrame, k: int, key: str = "tile_id", v
     return lists.withColumnRenamed("id", key)
 
 
-def knn_join(left: DataFrame, right: DataFrame, k: int, key: str = "tile_id", vector: str = "embedding", exclude_self: bool | None = None) -> DataFrame:
+def knn_join(left: DataFrame, right: DataFrame, k: int, key: str = "tile_id", vector: str = "embedding", exclude_self: bool | None = None,
+             method: str = "exact", **options) -> DataFrame:
     """Long form of :func:`knn_lists`: ``key, rank (from 1), neighbor_id, dist``."""
-    lists = knn_lists(left, right, k, key, vector, exclude_self)
+    lists = knn_lists(left, right, k, key, vector, exclude_self, method, **options)
     return lists.select(key, F.posexplode("neighbors").alias("_p", "_n")).select(
         key, (F.col("_p") + 1).alias("rank"), F.col("_n.id").alias("neighbor_id"), F.col("_n.dist").alias("dist")
     )

@@ -140,6 +140,19 @@ def numbered(df: DataFrame, *order: Column | str, name: str = "row") -> DataFram
     )
 
 
+def in_order(df: DataFrame, *order: Column | str, name: str = "place") -> DataFrame:
+    """All rows in the given order: numbered 0, 1, … in ``name`` and laid out so, partition after partition, as a write keeps them.
+
+    A range shuffle on the number; no task sees more than its range.
+    """
+    return numbered(df, *order, name=name).repartitionByRange(name).sortWithinPartitions(name)
+
+
+def tiles_in_order(df: DataFrame, scene: str = "scene_id", x: str = "x", y: str = "y", key: str = "tile_id") -> DataFrame:
+    """Tiles of each scene from west to east, then from south to north; tiles at one place by id."""
+    return in_order(df, scene, x, y, key)
+
+
 #: rows of one range bucket, and the largest number of buckets
 BUCKET_ROWS, MAX_BUCKETS = 1_000_000, 10_000
 

@@ -40,6 +40,17 @@ def nearest_of_other_half(spark, sf):
     return out.select("tile_id", "rank", "neighbor_id", _r("dist"))
 
 
+@query("hashed_neighbour_recall", "select count(*)::bigint n, (5 * count(*))::bigint found, true enough from embeddings")
+def hashed_neighbour_recall(spark, sf):
+    """How many of the five nearest tiles the hashed buckets find, counted against the exact join: at least nine of ten."""
+    e = inputs.embeddings(spark, sf)
+    near = knn.knn_join(e, e, 5, method="lsh").select("tile_id", "neighbor_id", F.lit(1).alias("hit"))
+    both = knn.knn_join(e, e, 5).join(near, ["tile_id", "neighbor_id"], "left")
+    total = near.agg(F.count("*").alias("found"), F.count_distinct("tile_id").alias("n"))
+    share = both.agg((F.count("hit") / F.count("*")).alias("recall"))
+    return total.select("n", "found", (share.scalar() >= 0.9).alias("enough"))
+
+
 @query(
     "scaled_embeddings",
     f"""with {EMB}, u as (select tile_id, unnest(range(len(embedding))) d, unnest(embedding)::double v from emb),

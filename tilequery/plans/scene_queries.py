@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tilequery.functions import names
 from tilequery.operators import geo, rasters, stats, tiling
+from tilequery.operators.select import tiles_in_order as tiles_sorted
 from tilequery.plans import inputs
 from tilequery.plans.inputs import EMB, GRID, TRAJ
 from tilequery.plans.registry import query
@@ -76,6 +77,17 @@ def tile_coordinates(spark, sf):
     return out.select("scene_id", "tile_id", "x", "y", "lx_tile", "ly_tile")
 
 
+@query(
+    "tiles_in_order",
+    f"""with {GRID}, q as (select scene_id, tile_id, i0 * 1000.0::double + scene_id x, (3199 - j0) * 500.0::double y from g)
+        select scene_id, tile_id, x, y, (row_number() over (order by scene_id, x, y, tile_id) - 1)::bigint place from q""",
+)
+def tiles_in_order(spark, sf):
+    xs, ys = _coordinates(spark, sf)
+    out = tiling.attach_coords(inputs.gridded(spark, sf), xs, ys)
+    return tiles_sorted(out.select("scene_id", "tile_id", "x", "y"))
+
+
 @query(
     "tile_centre_grid",
     f"with {GRID} select scene_id, x.i0 * 1000.0::double x, y.j0 * 500.0::double y from (select distinct scene_id, i0 from g) x join (select distinct scene_id, j0 from g) y using (scene_id)",

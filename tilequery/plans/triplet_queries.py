@@ -152,6 +152,14 @@ def catalogue_by_name(spark, sf):
     return catalogue(spark, sf)
 
 
+@query("files_in_order", f"with {CATALOG} select filepath, (row_number() over (order by filepath) - 1)::bigint place from cat")
+def files_in_order(spark, sf):
+    """The catalogue in order of its file names."""
+    from tilequery.sources import catalog
+
+    return catalog.files_in_order(catalogue(spark, sf), "filepath").select("filepath", "place")
+
+
 @query(
     "catalogue_triplets",
     f"""with {CATALOG} select triplet_id tile_id, max(filepath) filter (tile_type = 'anchor') anchor,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilequery.functions.names import TRIPLET_NAME, file_name, name_matches, parse_name
-from tilequery.operators.select import missing_files
+from tilequery.operators.select import in_order, missing_files
 
 
 def list_files(spark: SparkSession, root: str, suffix: str = "", recursive: bool = False) -> DataFrame:
@@ -21,6 +21,11 @@ def list_files(spark: SparkSession, root: str, suffix: str = "", recursive: bool
     )
 
 
+def files_in_order(files: DataFrame, name: str = "name") -> DataFrame:
+    """A listing or catalogue in order of its file names, with each file's ``place``; equal names by their other columns."""
+    return in_order(files, name, *[c for c, kind in files.dtypes if c != name and not kind.startswith(("map", "variant"))])
+
+
 def list_dirs(spark: SparkSession, root: str, suffix: str = "") -> DataFrame:
     """Directories under ``root`` that hold files, ending in ``suffix``."""
     folder = F.element_at(F.split("path", "/"), -2)
