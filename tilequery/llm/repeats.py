@@ -64,7 +64,8 @@ def _twice(start: np.ndarray, count: np.ndarray, anchor: np.ndarray, every: np.n
 
 
 def _shard_of(anchor: np.ndarray, shards: int) -> np.ndarray:
-    return ((anchor >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+    """Anchors are the least of many hashes, so small ones are frequent: their bits are spread again before they are dealt."""
+    return ((mix(anchor ^ np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
 def _bit_of(anchor: np.ndarray, bits: int) -> np.ndarray:
@@ -104,7 +105,9 @@ def repeated_anchors(docs: DataFrame, window: int, shards: int, hot: int = HOT_S
                 anchor, digest = anchor[order], digest[order]
                 first, kinds, which = _kinds(anchor, digest, np.ones(len(order), np.uint32))
                 keys, more = anchor[first], np.add.reduceat(1 + twice[order].astype(np.int64), first) > 1
-                shard = _shard_of(keys, shards)  # ascending, as the keys are
+                which_shard = _shard_of(keys, shards)
+                order = np.argsort(which_shard, kind="stable")
+                shard, keys, which, kinds, more = which_shard[order], keys[order], which[order], kinds[order], more[order]
                 cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])[: len(shard)]
                 parts = [slice(a, b) for a, b in zip(cuts, np.append(cuts[1:], len(shard)))]
                 yield pa.RecordBatch.from_arrays(
