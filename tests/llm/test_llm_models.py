@@ -237,3 +237,19 @@ def test_pipeline(spark):
     check_pieces(pieces, [(r.doc_id, r.text) for r in now.select("doc_id", "text").collect()], 1024)
     whole = c.run(spark, SF).select("doc_id", "start", "length", "ids_crc32")
     assert sorted(map(tuple, whole.collect())) == sorted((p.doc_id, p.start, p.length, p.ids_crc32) for p in pieces)
+
+
+def test_models_open_without_this_package(spark, docs):
+    """What is sent to the tasks brings its classes along: a Python that cannot import the package opens and uses it."""
+    import os
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    model = langid.fit(docs.select(F.col("doc_id").cast("long"), "text", "lang"))
+    for thing, use in ((model, "x.model.languages, x.limits"), (pitmanyor.State(3, (0.5, 0.5), np.ones(4), np.ones(4), 2.0, np.zeros(0, np.uint64), np.zeros(0)), "x.unknown()")):
+        code = f"import sys, pickle; x = pickle.loads(sys.stdin.buffer.read()); print({use}); assert not any(m.startswith('tilequery') for m in sys.modules)"
+        env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+        run = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(thing), capture_output=True, cwd="/tmp", env=env, timeout=60)
+        assert run.returncode == 0, run.stderr.decode()[-800:]
