@@ -8,6 +8,7 @@ returns (n, dims). Ids travel with the rows; nothing depends on row positions.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -67,35 +68,31 @@ def embed_scenes(scenes: DataFrame, make_predict_fn: PredictFactory, step: tuple
                  batch_size: int = BATCH, coords: tuple | None = None, spread: bool = True) -> DataFrame:
     """Embedding of every window of every scene: ``scene_id, i, j, i0, j0, tile_nx, tile_ny, embedding``.
 
-    Cropping and prediction happen in one pass over row strips, so window pixels
-    (many times the scene) never leave the Python worker. ``coords`` = ``(xs, ys[, latlon])``
-    attaches scene coordinates.
+    Cropping and prediction happen in one pass over bands of window rows, so window pixels
+    (many times the scene) never leave the Python worker; a batch of predictions goes on from one band to the next.
+    ``coords`` = ``(xs, ys[, latlon])`` attaches scene coordinates.
     """
-    nxt, nyt = tile
-    strips = tiling.scene_strips(scenes, step, tile, spread)
+    bands = tiling.scene_bands(scenes, step, tile, spread)
     kind = scenes.schema["scene_id"].dataType.simpleString()
 
     def run(batches):
         predict = make_predict_fn()
-        for batch in batches:
-            for r in range(batch.num_rows):
-                img = np.frombuffer(batch.column("strip")[r].as_buffer(), dtype=np.uint8).reshape(nyt, batch.column("w")[r].as_py(), 3)
-                starts = batch.column("i_starts")[r].as_py()
-                for lo in range(0, len(starts), batch_size):
-                    part = starts[lo : lo + batch_size]
-                    vecs = _predict(predict, [img[:, i : i + nxt] for i in part], batch_size)
-                    flat = np.concatenate(vecs).astype(np.float32)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([batch.column("scene_id")[r].as_py()] * len(part), batch.column("scene_id").type),
-                            pa.array([batch.column("j")[r].as_py()] * len(part), pa.int32()),
-                            pa.array(part, pa.int32()),
-                            pa.FixedSizeListArray.from_arrays(pa.array(flat), len(vecs[0])).cast(pa.list_(pa.float32())),
-                        ],
-                        names=["scene_id", "j", "i", "embedding"],
-                    )
-
-    out = tiling.with_centres(strips.mapInArrow(run, f"scene_id {kind}, j int, i int, embedding array<float>"), tile)
+        windows = ((batch.column("scene_id").type, *window) for batch in batches for window in tiling.windows_of(batch, tile, step))
+        while part := list(islice(windows, batch_size)):
+            types, scene, j, i, crops = zip(*part)
+            vecs = _predict(predict, list(crops), batch_size)
+            flat = np.concatenate(vecs).astype(np.float32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(scene, types[0]),
+                    pa.array(j, pa.int32()),
+                    pa.array(i, pa.int32()),
+                    pa.FixedSizeListArray.from_arrays(pa.array(flat), len(vecs[0])).cast(pa.list_(pa.float32())),
+                ],
+                names=["scene_id", "j", "i", "embedding"],
+            )
+
+    out = tiling.with_centres(bands.mapInArrow(run, f"scene_id {kind}, j int, i int, embedding array<float>"), tile)
     if coords is not None:
         out = tiling.attach_coords(out, coords[0], coords[1], tile, coords[2] if len(coords) > 2 else None)
     return out

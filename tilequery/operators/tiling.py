@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -15,6 +17,8 @@ from tilequery.schema import require
 #: fixed values: default tile size and step in pixels
 TILE = (256, 256)
 STEP = (50, 50)
+#: bytes of a scene's band at most (one window row is always whole), tile heights of a band that points meet
+BAND_BYTES, POINT_BAND = 64 << 20, 4
 
 
 def n_windows(n: int, tile: int, step: int) -> int:
@@ -98,75 +102,90 @@ def centred_windows(points: DataFrame, tile: tuple[int, int] = TILE) -> DataFram
     )
 
 
-def _cut(nxt: int, nyt: int):
-    """Crops out of row strips; yields a bounded number of crops at a time."""
+def windows_of(batch: pa.RecordBatch, tile: tuple[int, int], step: tuple[int, int]):
+    """``scene_id, j, i, crop`` of every window of a batch of bands; a crop is a view of its band."""
+    nxt, nyt = tile
+    sx, sy = step
+    for r in range(batch.num_rows):
+        scene, j, w = (batch.column(c)[r].as_py() for c in ("scene_id", "j", "w"))
+        img = np.frombuffer(batch.column("band")[r].as_buffer(), dtype=np.uint8).reshape(-1, w, 3)
+        for y in range(0, len(img) - nyt + 1, sy):
+            for x in range(0, w - nxt + 1, sx):
+                yield scene, j + y, x, img[y : y + nyt, x : x + nxt]
+
+
+def _cut(tile: tuple[int, int], step: tuple[int, int]):
+    """Crops out of bands; yields a bounded number of crops at a time."""
+    nxt, nyt = tile
 
     def run(batches):
         for batch in batches:
-            names = batch.schema.names
-            at = {n: batch.column(n) for n in names}
-            for r in range(batch.num_rows):
-                strip = np.frombuffer(at["strip"][r].as_buffer(), dtype=np.uint8)
-                width = at["w"][r].as_py()
-                starts = at["i_starts"][r].as_py()
-                img = strip.reshape(-1, width, 3)
-                rest = [n for n in names if n not in ("strip", "w", "i_starts")]
-                for lo in range(0, len(starts), 64):
-                    part = starts[lo : lo + 64]
-                    crops = [np.ascontiguousarray(img[:nyt, i : i + nxt]).tobytes() for i in part]
-                    keep = [pa.array([at[n][r].as_py()] * len(part), at[n].type) for n in rest]
-                    yield pa.RecordBatch.from_arrays(
-                        keep
-                        + [
-                            pa.array(part, pa.int32()),
-                            pa.array([nyt] * len(part), pa.int32()),
-                            pa.array([nxt] * len(part), pa.int32()),
-                            pa.array(crops, pa.binary()),
-                        ],
-                        names=rest + ["i", "h", "w", "pixels"],
-                    )
+            windows = windows_of(batch, tile, step)
+            while part := list(islice(windows, 64)):
+                scene, j, i, crops = zip(*part)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(scene, batch.column("scene_id").type),
+                        pa.array(j, pa.int32()),
+                        pa.array(i, pa.int32()),
+                        pa.array([nyt] * len(part), pa.int32()),
+                        pa.array([nxt] * len(part), pa.int32()),
+                        pa.array([np.ascontiguousarray(c).tobytes() for c in crops], pa.binary()),
+                    ],
+                    names=["scene_id", "j", "i", "h", "w", "pixels"],
+                )
 
     return run
 
 
-def scene_strips(images: DataFrame, step: tuple[int, int] = STEP, tile: tuple[int, int] = TILE, spread: bool = True) -> DataFrame:
-    """Scene images cut into the row strips their windows need (plain byte ranges, in the JVM).
+def scene_bands(images: DataFrame, step: tuple[int, int] = STEP, tile: tuple[int, int] = TILE, spread: bool = True) -> DataFrame:
+    """Scene images cut into bands of many window rows (plain byte ranges, in the JVM): ``scene_id, j, w, band``.
 
-    ``spread`` shuffles the strips, so that one large scene is worked on by many tasks.
+    A band begins at the window row ``j`` and ends with the last pixel row that its last window row needs, so only the overlap of a
+    tile with the next step is held by two bands. It has as many window rows as keep that overlap below half of
+    the band's own rows, less for scenes so wide that it would exceed ``BAND_BYTES``.
+    ``spread`` shuffles the bands, so that one large scene is worked on by many tasks.
     """
     require(images, "scene_id", "h", "w", "pixels")
-    (nxt, nyt), (sx, sy) = tile, step
-    strips = (
+    (nxt, nyt), (_, sy) = tile, step
+    halo = max(0, nyt - sy)
+    most = max(1, -(-2 * halo // sy))
+    fit = F.floor((F.lit(BAND_BYTES) / (3 * F.col("w")) - halo) / sy)
+    own = (F.greatest(F.lit(1), F.least(F.lit(most), fit)) * sy).cast("int")
+    rows = F.least(F.col("_own") + halo, F.col("h") - F.col("j"))
+    bands = (
         images.filter((F.col("w") >= nxt) & (F.col("h") >= nyt))
-        .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("h") - nyt, F.lit(sy))))
-        .select(
-            "scene_id",
-            "j",
-            "w",
-            F.sequence(F.lit(0), F.col("w") - nxt, F.lit(sx)).alias("i_starts"),
-            F.substring(F.col("pixels"), F.col("j") * F.col("w") * 3 + 1, F.lit(nyt) * F.col("w") * 3).alias("strip"),
-        )
+        .withColumn("_own", own)
+        .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("h") - nyt, F.col("_own"))))
+        .select("scene_id", "j", "w", F.substring(F.col("pixels"), F.col("j") * F.col("w") * 3 + 1, rows * F.col("w") * 3).alias("band"))
     )
-    return strips.repartition("scene_id", "j") if spread else strips
+    return bands.repartition("scene_id", "j") if spread else bands
 
 
 def crop_scenes(images: DataFrame, step: tuple[int, int] = STEP, tile: tuple[int, int] = TILE, spread: bool = True) -> DataFrame:
     """Pixels of every window of scene images ``(scene_id, h, w, pixels)``."""
     kind = images.schema["scene_id"].dataType.simpleString()
-    strips = scene_strips(images, step, tile, spread)
-    return strips.mapInArrow(_cut(*tile), f"scene_id {kind}, j int, i int, h int, w int, pixels binary")
+    bands = scene_bands(images, step, tile, spread)
+    return bands.mapInArrow(_cut(tile, step), f"scene_id {kind}, j int, i int, h int, w int, pixels binary")
 
 
 def crop_points(windows: DataFrame, images: DataFrame, tile: tuple[int, int] = TILE) -> DataFrame:
     """Pixels of point-centred windows (``valid`` rows only).
 
-    Each point takes just the rows it needs out of its scene before anything is
-    handed to Python.
+    Scenes are cut into bands of four tile heights and one more, so that every window lies in the one band that its first row names:
+    points meet bands, not scenes, by scene and band. Each point takes just the rows it needs out of its band before
+    anything is handed to Python.
     """
     nxt, nyt = tile
-    px = images.select("scene_id", F.col("w").alias("_w"), F.col("pixels").alias("_px"))
-    strip = F.substring(F.col("_px"), F.col("j_start") * F.col("_w") * 3 + 1, F.lit(nyt) * F.col("_w") * 3)
-    rows = windows.filter("valid").join(px, "scene_id").withColumn("_strip", strip).drop("_px")
+    own = POINT_BAND * nyt
+    px = (
+        images.filter(F.col("h") >= nyt)
+        .withColumn("_band", F.explode(F.sequence(F.lit(0), F.floor((F.col("h") - nyt) / own).cast("int"))))
+        .select("scene_id", "_band", F.col("w").alias("_w"), F.substring(F.col("pixels"), F.col("_band") * own * F.col("w") * 3 + 1, F.lit(own + nyt) * F.col("w") * 3).alias("_px"))
+    )
+    strip = F.substring(F.col("_px"), (F.col("j_start") - F.col("_band") * own) * F.col("_w") * 3 + 1, F.lit(nyt) * F.col("_w") * 3)
+    rows = windows.filter("valid").withColumn("_band", F.floor(F.col("j_start") / own).cast("int"))
+    rows = rows.join(px, ["scene_id", "_band"]).withColumn("_strip", strip).drop("_px", "_band")
     cut = _crop_columns(nxt, nyt)
     return rows.withColumns(
         {"h": F.lit(nyt), "w": F.lit(nxt), "pixels": cut(F.col("_strip"), F.col("_w"), F.col("i_start"))}
