@@ -11,6 +11,7 @@ from tilequery.plans import inputs
 from tilequery.plans.inputs import EMB, GRID, TRAJ
 from tilequery.plans.registry import query
 from tilequery.plans.triplet_queries import _r
+from tilequery.session import inline_if_small
 
 SCENES = "s as (select c_custkey::varchar scene_id, c_name || '.png' filepath, 600 nx, 400 ny from customer)"
 WINDOWS = f"{SCENES}, w as (select s.*, (q % 7 * 50)::int i, (q // 7 * 50)::int j, q::int spatial from s, range(21) r(q))"
@@ -59,11 +60,23 @@ def windows_around_points(spark, sf):
     return tiling.centred_windows(p, (32, 32)).select("event_id", "valid", "i_start", "j_start")
 
 
+#: pixel rows of a label scene whose tiles need no more
+SCENE_ROWS = 3200
+
+
 def _coordinates(spark, sf):
-    """Coordinate lists per label scene: every pixel of 600 x 3200, x and y in metres, lat/lon per pixel column and row."""
-    s = inputs.embeddings(spark, sf).select(F.col("label").alias("scene_id")).distinct()
-    xs = s.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(599)))).withColumn("x", F.col("i") * 1000.0 + F.col("scene_id"))
-    ys = s.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(3199)))).withColumn("y", F.col("j") * 500.0)
+    """Coordinate lists per label scene: every pixel of 600 x 3200, x and y in metres.
+
+    A scene with more tiles than that holds has as many rows as its last tile needs. Rows are counted from the far end, where y is
+    always 3199 * 500 m, so a taller scene begins below zero.
+    """
+    g = inputs.gridded(spark, sf).groupBy("scene_id").agg(F.greatest(F.max("j0") + 1, F.lit(SCENE_ROWS)).alias("_ny"))
+    s = inline_if_small(g)
+    xs = s.select("scene_id", F.explode(F.sequence(F.lit(0), F.lit(599))).alias("i")).withColumn("x", F.col("i") * 1000.0 + F.col("scene_id"))
+    # strips of rows, so that no list is longer than one of them
+    strips = s.select("scene_id", "_ny", F.explode(F.sequence(F.lit(0), F.col("_ny") - 1, F.lit(SCENE_ROWS))).alias("_s"))
+    rows = F.explode(F.sequence(F.col("_s"), F.least(F.col("_s") + SCENE_ROWS, F.col("_ny")) - 1))
+    ys = strips.select("scene_id", "_ny", rows.alias("j")).withColumn("y", (F.col("j") - F.col("_ny") + SCENE_ROWS) * 500.0).drop("_ny")
     return xs, ys
 
 
