@@ -40,3 +40,7 @@ def tall(spark):
 
 def test_coordinates_of_tall_scenes(spark, tmp_path, tall):
     assert same_as_sql(spark, tmp_path, "tile_coordinates", embeddings=tall) is None
+
+
+def test_order_of_tiles_in_tall_scenes(spark, tmp_path, tall):
+    assert same_as_sql(spark, tmp_path, "tiles_in_order", embeddings=tall) is None
