@@ -6,9 +6,11 @@ import duckdb
 import numpy as np
 import pytest
 from check import compare
+from conftest import vectors
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tilequery.operators import graph, knn, linkage
 
 SQL = entry.oracle_sql()
 QUERIES = entry.queries()
@@ -44,3 +46,69 @@ def test_coordinates_of_tall_scenes(spark, tmp_path, tall):
 
 def test_order_of_tiles_in_tall_scenes(spark, tmp_path, tall):
     assert same_as_sql(spark, tmp_path, "tiles_in_order", embeddings=tall) is None
+
+
+def test_groups_of_cells(spark, monkeypatch):
+    """Pivots and their groups, rows compared in small tiles, several blocks of both sides: the same neighbours."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(60, 3)) + 6 * rng.normal(size=3) for _ in range(4)])
+    x[7] = x[9] = x[11]
+    for name, value in (("BLOCK", 20), ("PLAIN_BLOCKS", 0), ("LEFT_TILE", 7), ("RIGHT_TILE", 13)):
+        monkeypatch.setattr(knn, name, value)
+    df = vectors(spark, x)
+    got = {}
+    for r in knn.knn_join(df, df, 4).collect():
+        got.setdefault(r["tile_id"], []).append((r["rank"], r["neighbor_id"]))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    for i in range(len(x)):
+        want = sorted((d[i, j], j) for j in range(len(x)) if j != i)[:4]
+        assert [j for _, j in sorted(got[i])] == [j for _, j in want]
+
+
+def test_what_blocks_send_grows_like_the_rows():
+    """Every row goes to a fixed number of blocks as long as a block may hold its share of the table."""
+    for n in (10_000, 120_000, 700_000):
+        a, b = knn.block_cuts(n, n, 64, 12)
+        assert a + b <= 16 and a * b >= 48
+    a, b = knn.block_cuts(10_000_000, 10_000_000, 64, 12)
+    assert 10_000_000 / a * 64 * 8 <= 1.01 * knn.BLOCK_BYTES >= 10_000_000 / b * 64 * 8 / 1.01
+
+
+def test_spanning_tree_lists(spark, monkeypatch):
+    """Short lists run out and are searched anew; copies and separate starting parts too."""
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(25, 2)), rng.normal(size=(15, 2)) + 9, np.repeat(rng.normal(size=(2, 2)), 6, axis=0)])
+    monkeypatch.setattr(graph, "LISTED", 2)
+    monkeypatch.setattr(graph, "MANY", 8)
+    tree = graph.spanning_tree(vectors(spark, x).select(F.col("tile_id").alias("id"), F.col("embedding").alias("vec"), F.lit(0.0).alias("w")))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    edges, up = [], list(range(len(x)))
+
+    def top(i):
+        return i if up[i] == i else top(up[i])
+
+    for w, i, j in sorted((d[i, j], i, j) for i in range(len(x)) for j in range(i + 1, len(x))):
+        if top(i) != top(j):
+            up[top(i)] = top(j)
+            edges.append((i, j, round(w, 9)))
+    assert sorted((r["u"], r["v"], round(r["weight"], 9)) for r in tree.collect()) == sorted(edges)
+
+
+@pytest.mark.parametrize("method", ["complete", "average"])
+def test_linkage_of_cut_clusters(spark, monkeypatch, method):
+    """Clusters larger than a piece, and copies, give the heights of one-by-one merging."""
+    monkeypatch.setattr(linkage, "TAIL", 4)
+    monkeypatch.setattr(linkage, "PIECE_ROWS", 5)
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(22, 3)), rng.normal(size=(8, 3)) + 5])
+    x[3] = x[4] = x[5]
+    parts, want = {i: [i] for i in range(len(x))}, []
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    fold = np.max if method == "complete" else np.mean
+    while len(parts) > 1:
+        h, i, j = min((fold(d[np.ix_(parts[i], parts[j])]), i, j) for i in parts for j in parts if i < j)
+        parts[i] += parts.pop(j)
+        want.append((round(h, 9), len(parts[i])))
+    got = sorted((r["height"], r["size"]) for r in linkage.linkage(vectors(spark, x), method).collect())
+    assert [n for _, n in got] == [n for _, n in sorted(want)]
+    np.testing.assert_allclose([h for h, _ in got], [h for h, _ in sorted(want)], atol=2e-9)
