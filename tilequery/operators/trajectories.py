@@ -251,8 +251,9 @@ def link_points(points: DataFrame, max_displacement: float, prefix: str = "prefi
     cell = {"cx": F.floor(F.col("x") / r), "cy": F.floor(F.col("y") / r)}
     meet = ["_g", "_f", "cx", "cy"]
     here = spots.withColumns(cell)
+    first, second = spots.select("_g", "_f", "id", "x", "y"), spots.select("_g", (F.col("_f") - 1).alias("_f"), "id", "x", "y")
     most = math.isqrt(knn.CELL_PAIRS)
-    if here.groupBy(*meet).count().filter(F.col("count") > most).isEmpty():
+    if here.groupBy(*meet).count().filter(F.col("count") > most).isEmpty() and not knn.crowded(first, second, ["_g", "_f"], r):
         around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
         ahead = here.withColumn("_o", around).select(
             "_g", "_f", (F.col("cx") + F.col("_o.i")).alias("cx"), (F.col("cy") + F.col("_o.j")).alias("cy"), "id", "x", "y"
@@ -263,8 +264,7 @@ def link_points(points: DataFrame, max_displacement: float, prefix: str = "prefi
         pairs = materialize(ahead.join(later, meet).select("_g", "_f", "id", "near_id", gap.alias("dist")).filter(F.col("dist") <= r))
         fwd = pairs.groupBy("_g", "_f", "id").agg(F.min(F.struct("dist", "near_id")).alias("b")).select("_g", "_f", "id", "b.near_id", "b.dist")
         back = pairs.groupBy("_g", "_f", "near_id").agg(F.min(F.struct("dist", "id")).alias("b")).select("_g", "_f", "near_id", "b.id")
-    else:  # crowded cells: the block kernel keeps one candidate per point
-        first, second = spots.select("_g", "_f", "id", "x", "y"), spots.select("_g", (F.col("_f") - 1).alias("_f"), "id", "x", "y")
+    else:  # crowded cells: the nearest of each point is looked for from short distances on
         fwd = knn.nearest_within(first, second, ["_g", "_f"], r).drop("x", "y")
         back = knn.nearest_within(second, first, ["_g", "_f"], r).select("_g", "_f", F.col("id").alias("near_id"), F.col("near_id").alias("id"))
     return fwd.join(back, ["_g", "_f", "id", "near_id"]).select(
