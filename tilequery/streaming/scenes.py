@@ -11,6 +11,8 @@ from tilequery.functions.pixels import source_to_rgb
 from tilequery.operators import tiling
 from tilequery.operators.embed import BATCH, PredictFactory, embed_scenes
 
+#: folders of the table of embeddings
+SCENE_PARTS = 64
 #: fixed value: row layout of Spark's image source
 IMAGE_SCHEMA = "image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
 
@@ -36,13 +38,15 @@ def scene_stream(spark: SparkSession, path: str, kind: str = "image", ext: str =
 
 def stream_scenes(scenes: DataFrame, make_predict_fn: PredictFactory, out: str, checkpoint: str, step: tuple[int, int] = tiling.STEP,
                   tile: tuple[int, int] = tiling.TILE, batch_size: int = BATCH, available_now: bool = True) -> StreamingQuery:
-    """Start embedding a scene stream into a Parquet table laid out by scene.
+    """Start embedding a scene stream into a Parquet table; all rows of a scene lie in one of ``SCENE_PARTS`` folders, ``scene_part``.
 
+    So a batch writes a file per folder, not a file for every task and scene.
     The checkpoint remembers finished files; a restart goes on with the rest.
     ``available_now`` works through what is there and ends.
     """
     rows = embed_scenes(scenes, make_predict_fn, step, tile, batch_size)
-    writer = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).partitionBy("scene_id")
+    rows = rows.withColumn("scene_part", F.pmod(F.xxhash64("scene_id"), F.lit(SCENE_PARTS)).cast("int")).repartition(SCENE_PARTS, "scene_part")
+    writer = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).partitionBy("scene_part")
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
