@@ -10,7 +10,8 @@ from conftest import vectors
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tilequery.operators import graph, knn, linkage
+from tilequery.operators import graph, knn, linkage, trajectories
+from tilequery.streaming import scenes
 
 SQL = entry.oracle_sql()
 QUERIES = entry.queries()
@@ -112,3 +113,36 @@ def test_linkage_of_cut_clusters(spark, monkeypatch, method):
     got = sorted((r["height"], r["size"]) for r in linkage.linkage(vectors(spark, x), method).collect())
     assert [n for _, n in got] == [n for _, n in sorted(want)]
     np.testing.assert_allclose([h for h, _ in got], [h for h, _ in sorted(want)], atol=2e-9)
+
+
+def test_points_of_crowded_frames(spark, monkeypatch):
+    """Links are the same when points are looked for from short distances on."""
+    monkeypatch.setattr(knn, "PAIRS_EACH", 1)
+    monkeypatch.setattr(knn, "BLOCK", 1)
+    rng = np.random.default_rng(6)
+    at = np.concatenate([rng.uniform(0, 40, (90, 2)), rng.normal(5, 0.2, (60, 2))])
+    rows = [("p", int(i % 2), i, float(x), float(y)) for i, (x, y) in enumerate(at)]
+    points = spark.createDataFrame(rows, "prefix string, frame long, point_id long, x double, y double")
+    a, b = ([r for r in rows if r[1] == f] for f in (0, 1))
+    gap = {(p[2], q[2]): float(np.hypot(p[3] - q[3], p[4] - q[4])) for p in a for q in b}
+    fwd = {p[2]: min((gap[p[2], q[2]], q[2]) for q in b) for p in a}
+    back = {q[2]: min((gap[p[2], q[2]], p[2]) for p in a) for q in b}
+    want = {(i, j) for i, (d, j) in fwd.items() if d <= 10 and back[j][1] == i}
+    steps = []
+    real = knn._nearest_at
+    monkeypatch.setattr(knn, "_nearest_at", lambda *args: steps.append(args[-1]) or real(*args))
+    assert {(r["point_id"], r["next_id"]) for r in trajectories.link_points(points, 10.0).collect()} == want
+    assert len(steps) > 4 and min(steps) < 5
+
+
+def test_streamed_scenes_in_few_folders(spark, tmp_path):
+    """Scenes do not get a folder each."""
+    rows = [(i, 6, 6, bytes([i]) * 108) for i in range(200)]
+    spark.createDataFrame(rows, "scene_id long, h int, w int, pixels binary").write.parquet(str(tmp_path / "in"))
+    means = lambda: lambda x: x.reshape(len(x), -1).mean(1, keepdims=True)
+    stream = scenes.scene_stream(spark, str(tmp_path / "in"), "parquet")
+    scenes.stream_scenes(stream, means, str(tmp_path / "out"), str(tmp_path / "state"), (3, 3), (6, 6)).awaitTermination()
+    files = list((tmp_path / "out").glob("*/*.parquet"))
+    assert 0 < len(files) <= scenes.SCENE_PARTS
+    got = {r["scene_id"]: r["embedding"][0] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert len(got) == 200 and all(abs(v - i / 255) < 1e-6 for i, v in got.items())
