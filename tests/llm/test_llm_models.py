@@ -175,6 +175,26 @@ def test_language_model(docs, rows, empty):
     assert all(r.n_known == 0 for r in pitmanyor.score_texts(docs, F.lit(False)).collect())
 
 
+def rows_from_python(plan) -> int:
+    """Rows that the MapInArrow nodes of an executed plan gave back."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return rows_from_python(plan.executedPlan())
+    if name.endswith("QueryStage"):
+        return rows_from_python(plan.plan())
+    below = plan.children()
+    own = plan.metrics().apply("pythonNumRowsReceived").value() if name == "MapInArrow" else 0
+    return own + sum(rows_from_python(below.apply(k)) for k in range(below.size()))
+
+
+def test_language_model_sends_nothing_by_document_and_shard(spark):
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, speech(rng, "abcdefghi", 40)) for i in range(60)], "doc_id long, text string").coalesce(1)
+    few, many = (pitmanyor.score_texts(docs, F.col("doc_id") % 3 != 0, shards=n) for n in (1, 12))
+    assert sorted(r.base_score for r in few.collect()) == pytest.approx(sorted(r.base_score for r in many.collect()))
+    assert 0 < rows_from_python(many._jdf.queryExecution().executedPlan()) <= 12
+
+
 def test_seating_follows_the_process():
     rng = np.random.default_rng(0)
     customers, d, a = np.full(4000, 30), 0.6, 1.5
