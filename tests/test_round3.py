@@ -6,11 +6,11 @@ import duckdb
 import numpy as np
 import pytest
 from check import compare
-from conftest import vectors
+from conftest import stacked, vectors
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tilequery.operators import graph, knn, linkage, trajectories
+from tilequery.operators import graph, knn, linkage, manifolds, trajectories
 from tilequery.streaming import scenes
 
 SQL = entry.oracle_sql()
@@ -146,3 +146,19 @@ def test_streamed_scenes_in_few_folders(spark, tmp_path):
     assert 0 < len(files) <= scenes.SCENE_PARTS
     got = {r["scene_id"]: r["embedding"][0] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert len(got) == 200 and all(abs(v - i / 255) < 1e-6 for i, v in got.items())
+
+
+def test_smallest_vectors_of_separate_parts(spark):
+    """Parts of a matrix have null vectors of their own: found at once, without any round of iteration."""
+    rng = np.random.default_rng(8)
+    lap = np.zeros((64, 64))
+    for lo, hi in ((0, 20), (20, 50), (50, 63)):  # the last row stands alone
+        w = np.abs(rng.normal(size=(hi - lo, hi - lo)))
+        w = w + w.T
+        lap[lo:hi, lo:hi] = np.diag(w.sum(1)) - w
+    m = spark.createDataFrame([(int(i), int(j), float(lap[i, j])) for i, j in zip(*np.nonzero(lap))], "i long, j long, v double")
+    y = stacked(manifolds.smallest_vectors(spark.range(64), m, 64, 2, dense_rows=5, max_rounds=0), key="id")
+    np.testing.assert_allclose(y.T @ y, np.eye(2), atol=1e-12)
+    np.testing.assert_allclose(lap @ y, 0.0, atol=1e-12)
+    np.testing.assert_allclose(y.sum(0), 0.0, atol=1e-12)
+    assert len(np.unique(y.round(9), axis=0)) == 4
