@@ -195,6 +195,51 @@ def test_language_model_sends_nothing_by_document_and_shard(spark):
     assert 0 < rows_from_python(many._jdf.queryExecution().executedPlan()) <= 12
 
 
+def test_every_word_before_is_a_context_of_its_own(spark):
+    """Words that a table of 16,384 restaurants would seat together each keep their own followers."""
+    from tilequery.llm.text import Words, mix
+
+    names = [f"w{i}" for i in range(3000)]
+    hashes = Words(pa.array([" ".join(names)]), lower=True).hashes()
+    place: dict[int, str] = {}
+    pairs = [(place[b], n) for n, b in zip(names, (mix(hashes) % np.uint64((1 << 14) - 1)).tolist()) if place.setdefault(b, n) != n]
+    one, other = pairs[0]
+    assert len({pitmanyor.Tokens(pa.array([f"{one} a", f"{other} a", "a"])).context[k] for k in (0, 1, 4)}) == 3
+    texts = [f"{one} left"] * 40 + [f"{other} right"] * 40
+    asked = [f"{one} left", f"{one} right", f"{other} right", f"{other} left"]
+    docs = spark.createDataFrame([*enumerate(texts), *((1000 + i, t) for i, t in enumerate(asked))], "doc_id long, text string")
+    for shards in (1, 3):
+        got = {r.doc_id: r.score for r in pitmanyor.score_texts(docs, F.col("doc_id") < 1000, shards=shards).collect()}
+        assert got[1000] > got[1001] + 0.8 and got[1002] > got[1003] + 0.8
+
+
+def test_totals_of_contexts_meet_from_all_shards(spark):
+    """Customers and tables of a context are sums over the shards that hold cells of it."""
+    rng = np.random.default_rng(3)
+    contexts = np.unique(rng.integers(1, 1 << 62, 40).astype(np.uint64) * np.uint64(4))
+    records, customers, cells, beyond = [], Counter(), Counter(), Counter()
+    for shard in range(3):
+        own = np.sort(rng.choice(contexts, 25, replace=False))
+        cell = np.unique(rng.integers(0, 6, 60) * len(own) + rng.integers(0, len(own), 60))
+        n, more = rng.integers(1, 9, len(cell)), rng.integers(0, 4, len(own)).astype(np.uint32)
+        for c, k in zip(own[cell % len(own)].tolist(), n.tolist()):
+            customers[c] += k
+            cells[c] += 1
+        for c, k in zip(own.tolist(), more.tolist()):
+            beyond[c] += k
+        parts = {"contexts": own.tobytes(), "counts": pitmanyor._pack(cell.astype(np.int64), n.astype(np.int64))}
+        records.append((shard, parts | {"beyond": [(h, pitmanyor._pack(more[x:y])) for h, x, y in pitmanyor._stretches(own, 3)]}))
+    held = spark.sparkContext.parallelize(records).partitionBy(3, pitmanyor._own)
+    totals = pitmanyor.Totals(held, 3)
+    sent = held.flatMap(lambda e: [(home, {("beyond", e[0]): blob}) for home, blob in e[1]["beyond"]]).partitionBy(3, pitmanyor._own)
+    got = held.union(totals.fixed).union(totals.added(sent, 1)).mapPartitions(lambda r: pitmanyor._merged(r).items()).collect()
+    assert sorted(s for s, _ in got) == [0, 1, 2]
+    for _, part in got:
+        own = np.frombuffer(part["contexts"], np.uint64).tolist()
+        for kind, want in (("customers", customers), ("cells", cells), (1, beyond)):
+            assert pitmanyor._arrays(part, kind).tolist() == [want[c] for c in own]
+
+
 def test_seating_follows_the_process():
     rng = np.random.default_rng(0)
     customers, d, a = np.full(4000, 30), 0.6, 1.5
